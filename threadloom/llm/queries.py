@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.conversations import assemble, conversation_turns
 from threadloom.llm.encodings import repair_fields
 from threadloom.llm.splitting import profiles_in_force, split_oversized
+from threadloom.llm.truncation import cut_documents
 from threadloom.operators.timestamps import InstantDictionary, account_zones, normalise_instants
 from threadloom.runtime import new_path, table
 
@@ -58,9 +59,26 @@ def p7_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _repaired(spark, sf)
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text", "source", "content_kind")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_documents(_documents(spark, sf)).where("is_cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source cuts."""
+    docs = _documents(spark, sf)
+    scored = docs.select("doc_id", "source").join(cut_documents(docs).select("doc_id", "is_cut"), "doc_id", "left")
+    cut = F.coalesce(F.col("is_cut"), F.lit(False))
+    return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(cut).alias("n_cut"), F.round(F.avg(cut.cast("int")), 6).alias("cut_share"))
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_restored": p7_restored,
+        "p10_found": p10_found, "p10_rates": p10_rates,
     }
 
 
