@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.conversations import assemble, conversation_turns
+from threadloom.llm.email_lines import label_lines, new_text
 from threadloom.llm.encodings import repair_fields
 from threadloom.llm.splitting import profiles_in_force, split_oversized
 from threadloom.llm.truncation import cut_documents
@@ -47,6 +48,18 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf, True)
 
 
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "thread_emails").select("email_id", "body")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return label_lines(_bodies(spark, sf)).select("email_id", "line_no")
+
+
+def p3_new_text(spark: SparkSession, sf: str) -> DataFrame:
+    return new_text(_bodies(spark, sf))
+
+
 def _repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repair_fields(table(spark, sf, "thread_emails").select("email_id", "subject", "body", "sender"), "email_id", ["subject", "body", "sender"])
 
@@ -77,7 +90,8 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_restored": p7_restored,
+        "p2_found": p2_found, "p2_threads": p2_threads, "p3_found": p3_found, "p3_new_text": p3_new_text,
+        "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_restored": p7_restored,
         "p10_found": p10_found, "p10_rates": p10_rates,
     }
 
