@@ -60,9 +60,9 @@ _ODD = set("³²¹´¯÷¾½¼·¨¸¶§þðòìå¤ƒˆ˜‰‡†„‚ﬂﬁ
 _FOREIGN = set("ÒòÞþÐðÝýØøÅåÌìÆ")
 
 
-@lru_cache(maxsize=1)
-def automaton():
-    """Garbled sequence -> ((length, {pair number: correct character}))."""
+@lru_cache(maxsize=2)
+def automaton(with_singles: bool = True):
+    """Garbled sequence -> (length, {pair number: correct character})."""
     import ahocorasick
 
     words: dict[str, dict[int, str]] = {}
@@ -85,7 +85,7 @@ def automaton():
                 continue
             if len(raw) == 2:
                 add("".join(t[b] for b in raw), pair, chr(c))
-    for pair, (written, read) in enumerate(SINGLE_BYTE, len(READ_AS) + len(DOUBLE_BYTE)):
+    for pair, (written, read) in enumerate(SINGLE_BYTE if with_singles else (), len(READ_AS) + len(DOUBLE_BYTE)):
         t = _table(read)
         for b in range(0x80, 0x100):
             if (ch := _table(written)[b]) != t[b] and ord(ch) > 0x9F:
@@ -119,22 +119,22 @@ def _drawing(text: str, a: int, b: int) -> bool:
     return all(c in _BOX for c in text[a:b]) and (text[a - 1 : a] in _BOX or text[b : b + 1] in _BOX)
 
 
-def _chosen(text: str) -> list[tuple[int, int, str]]:
+def _chosen(text: str, singles: bool = True) -> list[tuple[int, int, str]]:
     """Non-overlapping garbled spans: pairs of encodings that explain more of the text come first, within a pair the leftmost."""
     by_pair: dict[int, list[tuple[int, int, str]]] = {}
-    for end, (n, by) in automaton().iter(text):
+    for end, (n, by) in automaton(singles).iter(text):
         for pair, ch in by.items():
             by_pair.setdefault(pair, []).append((end + 1 - n, end + 1, ch))
     ranked = []
-    doubles, singles = len(READ_AS), len(READ_AS) + len(DOUBLE_BYTE)
+    doubles, single = len(READ_AS), len(READ_AS) + len(DOUBLE_BYTE)
     for pair, hits in by_pair.items():
         hits.sort(key=lambda h: (h[0], -h[1]))
         kept, at = [], 0
         for h in hits:
-            if h[0] >= at and (not _drawing(text, h[0], h[1]) if pair < singles else _single_is_garbled(text, h[0], h[2])):
+            if h[0] >= at and (not _drawing(text, h[0], h[1]) if pair < single else _single_is_garbled(text, h[0], h[2])):
                 kept.append(h)
                 at = h[1]
-        if doubles <= pair < singles:
+        if doubles <= pair < single:
             kept = _runs(text, kept)
         if kept:
             ranked.append((-sum(b - a for a, b, _ in kept), pair, kept))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.conversations import assemble, conversation_turns
 from threadloom.llm.email_lines import label_lines, new_text
 from threadloom.llm.encodings import repair_fields
+from threadloom.llm.personal import find_personal, redact_personal
 from threadloom.llm.splitting import profiles_in_force, split_oversized
 from threadloom.llm.truncation import cut_documents
 from threadloom.operators.timestamps import InstantDictionary, account_zones, normalise_instants
@@ -60,6 +61,18 @@ def p3_new_text(spark: SparkSession, sf: str) -> DataFrame:
     return new_text(_bodies(spark, sf))
 
 
+def _mails(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "thread_emails").select("email_id", "body", "to_text", "cc_text", "sender")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_personal(_mails(spark, sf))
+
+
+def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redact_personal(_mails(spark, sf))
+
+
 def _repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repair_fields(table(spark, sf, "thread_emails").select("email_id", "subject", "body", "sender"), "email_id", ["subject", "body", "sender"])
 
@@ -92,6 +105,7 @@ def queries() -> dict:
     return {
         "p2_found": p2_found, "p2_threads": p2_threads, "p3_found": p3_found, "p3_new_text": p3_new_text,
         "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_restored": p7_restored,
+        "p6_found": p6_found, "p6_redacted": p6_redacted,
         "p10_found": p10_found, "p10_rates": p10_rates,
     }
 
