@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from threadloom.llm.conversations import assemble, conversation_turns
 from threadloom.llm.email_lines import label_lines, new_text
 from threadloom.llm.encodings import repair_fields
+from threadloom.llm.mixing import mixture, shares
+from threadloom.llm.packing import pack
 from threadloom.llm.personal import find_personal, redact_personal
 from threadloom.llm.splitting import profiles_in_force, split_oversized
+from threadloom.llm.tokens import token_counts
 from threadloom.llm.truncation import cut_documents
 from threadloom.operators.timestamps import InstantDictionary, account_zones, normalise_instants
-from threadloom.runtime import new_path, table
+from threadloom.runtime import materialise, new_path, table
 
 
 def _dated_emails(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,6 +92,39 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text", "source", "content_kind")
 
 
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their number of tokens."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang", "content_kind")
+    return materialise(docs.drop("text").join(token_counts(docs, "doc_id", "text"), "doc_id"), "sized")
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents in containers of every capacity of pack_limits (a table of three rows)."""
+    sized = _sized(spark, sf)
+    out = None
+    for limit in table(spark, sf, "pack_limits").orderBy("limit_id").collect():
+        part = pack(sized, "doc_id", "n_tokens", limit["capacity_tokens"]).withColumn("limit_id", F.lit(limit["limit_id"]))
+        out = part if out is None else out.unionByName(part)
+    return out.select("limit_id", "container_id", "doc_id", "part_no", "token_start", "n_tokens")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers of each capacity, and how full they are."""
+    limits = table(spark, sf, "pack_limits").select("limit_id", "capacity_tokens")
+    per = p8_containers(spark, sf).groupBy("limit_id").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    room = F.col("n_containers") * F.col("capacity_tokens")
+    return per.join(limits, "limit_id").select("limit_id", "capacity_tokens", "n_containers", "n_tokens", F.round(F.col("n_tokens") / room, 6).alias("fill"))
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture(_sized(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    return shares(mixture(_sized(spark, sf), targets), targets)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return cut_documents(_documents(spark, sf)).where("is_cut").select("doc_id")
 
@@ -106,6 +142,7 @@ def queries() -> dict:
         "p2_found": p2_found, "p2_threads": p2_threads, "p3_found": p3_found, "p3_new_text": p3_new_text,
         "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_restored": p7_restored,
         "p6_found": p6_found, "p6_redacted": p6_redacted,
+        "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
         "p10_found": p10_found, "p10_rates": p10_rates,
     }
 
