@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.sampling import bounded_sample
+
 STATES = ("new", "intro", "quoted", "headed", "signature", "notice")
 NEW, INTRO, QUOTED, HEADED, SIGNATURE, NOTICE = range(6)
 
@@ -344,7 +346,7 @@ def label(model: LineModel, bodies: list[str | None]) -> tuple[Lines, np.ndarray
 
 
 def fitted(emails: DataFrame, key: str, body: str, sample: int = 4000) -> LineModel:
-    rows = emails.select(F.col(key).alias("k"), F.col(body).alias("b")).where("b is not null").orderBy(F.xxhash64("k"), "k").limit(sample).collect()
+    rows = bounded_sample(emails.select(F.col(key).alias("k"), F.col(body).alias("b")).where("b is not null"), "k", sample)
     x = Lines([r["b"] for r in rows])
     return fit(x, heuristic(x))
 
