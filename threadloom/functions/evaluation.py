@@ -58,12 +58,12 @@ def grouped_means(df: DataFrame, category: str, metrics: list[str]) -> DataFrame
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """A33. One row: kappa of two label columns."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    agree = cells.agg(F.sum("n").alias("total"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"))
-    left = cells.groupBy(F.col(a).alias("v")).agg(F.sum("n").alias("l"))
-    right = cells.groupBy(F.col(b).alias("v")).agg(F.sum("n").alias("r"))
-    chance = left.join(right, "v").agg(F.coalesce(F.sum(F.col("l").cast("double") * F.col("r")), F.lit(0.0)).alias("c"))
-    po, pe = F.col("same") / F.col("total"), F.col("c") / (F.col("total").cast("double") * F.col("total"))
-    return agree.crossJoin(chance).select(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))  # two single rows
+    zero = F.lit(0).cast("bigint")
+    left = cells.select(F.col(a).alias("v"), F.col("n").alias("l"), zero.alias("r"), F.when(F.col(a) == F.col(b), F.col("n")).otherwise(zero).alias("s"))
+    right = cells.select(F.col(b).alias("v"), zero.alias("l"), F.col("n").alias("r"), zero.alias("s"))
+    margins = left.unionByName(right).groupBy("v").agg(F.sum("l").cast("double").alias("l"), F.sum("r").cast("double").alias("r"), F.sum("s").alias("s"))
+    po, pe = F.sum("s") / F.sum("l"), F.sum(F.col("l") * F.col("r")) / (F.sum("l") * F.sum("r"))
+    return margins.agg(po.alias("po"), pe.alias("pe")).select(F.when(F.col("pe") == 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
 def average_rank(c: str, partition: list[str] | None = None) -> Column:

@@ -20,6 +20,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
+#: Queries that one block holds at most, about.
+BLOCK = 256
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """J18. (query, rank, item, score) of the k most similar items of every query.
 
@@ -27,8 +31,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = T
     into one array per block of 256, so a task scores an item against a block at a time; each block keeps its top k per partition
     before anything is shuffled.
     """
-    blocks = queries.select(F.struct("query", "qvec", norm(F.col("qvec")).alias("qn")).alias("q"), F.floor(F.pmod(F.xxhash64("query"), F.lit(1 << 20)) / 4096).alias("_block"))
-    packed = blocks.groupBy("_block").agg(F.collect_list("q").alias("qs"))  # blocks are cut by hash: bounded
+    n_blocks = max(1, -(-queries.count() // BLOCK))
+    blocks = queries.select(F.struct("query", "qvec", norm(F.col("qvec")).alias("qn")).alias("q"), F.pmod(F.xxhash64("query"), F.lit(n_blocks)).alias("_block"))
+    packed = blocks.groupBy("_block").agg(F.collect_list("q").alias("qs"))  # a block holds about BLOCK queries whatever their number
     sized = items.select("item", "vec", norm(F.col("vec")).alias("vn"))
     scored = sized.join(packed, how="cross").select("item", "vec", "vn", F.explode("qs").alias("q"))
     score = dot(F.col("vec"), F.col("q.qvec")) / F.greatest(F.col("vn") * F.col("q.qn"), F.lit(1e-12))

@@ -609,3 +609,107 @@ def ref_k5_upsert(s, sf):
 def ref_k8_latest_judgments(s, sf):
     m = table(s, sf, "messages").where("message_id <> ''").select("message_id", "state", "fetched_at", "delivery_id")
     return M.keep_latest(m, ["message_id"], [F.col("fetched_at"), F.col("delivery_id")]).select("message_id", "state")
+
+
+@query()
+def ref_index_build(s, sf):
+    """The chunk table of all thread e-mails."""
+    from threadloom.plans.pipeline import index_rows
+
+    e = table(s, sf, "thread_emails").select("message_id", "in_reply_to", "sender", "subject", "body")
+    return index_rows(e, _NOISE[:2]).select("doc_key", "ordinal", "point_id", "content_hash", "thread_id")
+
+
+@query()
+def ref_v4_hybrid_search(s, sf):
+    from threadloom.plans.search import hybrid
+
+    d = table(s, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    return hybrid(d.where("item % 100 = 0").select(F.col("item").alias("query"), "text"), d, top=10)
+
+
+@query()
+def ref_v6_reranked_search(s, sf):
+    from threadloom.plans.search import hybrid, rerank
+
+    d = table(s, sf, "documents").select(F.col("doc_id").alias("item"), "text")
+    q = d.where("item % 100 = 0").select(F.col("item").alias("query"), "text")
+    return rerank(hybrid(q, d, "sparse", top=20), X.lexical_overlap, d, q, 5)
+
+
+@query()
+def ref_j4_conversations_of_hits(s, sf):
+    from threadloom.plans.search import hybrid, threads_of
+
+    e = table(s, sf, "thread_emails").where("thread_id <> ''")
+    c = e.select(F.col("email_id").alias("item"), "thread_id", I.normalize_message_id(F.col("message_id")).alias("message_id"), F.col("email_id").alias("ordinal"), F.col("ingested_at").alias("sent_at"), "sender", F.col("body").alias("text"))
+    q = e.where("email_id % 100 = 0 and subject is not null").select(F.col("email_id").alias("query"), F.col("subject").alias("text"))
+    return threads_of(hybrid(q, c.select("item", "text"), "sparse", top=10), c, 3)
+
+
+@query()
+def ref_v10_thread_clusters(s, sf):
+    from threadloom.plans.pipeline import cluster_threads
+
+    v = table(s, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return cluster_threads(v, 8).select("vec_id", "cluster", "size", "tightness")
+
+
+@query("SELECT email_id, string_split(body, chr(10))[1:20] AS lines FROM thread_emails WHERE FALSE UNION ALL SELECT email_id, lines FROM (SELECT email_id, list_transform(list_filter(string_split(body, chr(10)), lambda l: contains(lower(l), 'permit'))[1:20], lambda l: trim(substr(l, greatest(1, instr(lower(l), 'permit') - 97), 200))) AS lines, coalesce(contains(lower(body), 'permit'), FALSE) AS b, subject FROM thread_emails) WHERE b ORDER BY email_id LIMIT 500")
+def ref_l5_grep(s, sf):
+    from threadloom.plans.pipeline import grep
+
+    return grep(table(s, sf, "thread_emails").where(F.contains(F.lower("body"), F.lit("permit"))), "permit")
+
+
+@query("SELECT source_name, subject, n FROM (SELECT source_name, subject, n, row_number() OVER (PARTITION BY source_name ORDER BY n DESC, subject) AS k FROM (SELECT source_name, subject, count(*) AS n FROM thread_emails WHERE subject IS NOT NULL GROUP BY ALL)) WHERE k <= 10")
+def ref_a22_frequent_subjects(s, sf):
+    c = table(s, sf, "thread_emails").where("subject is not null").groupBy("source_name", "subject").agg(F.count("*").alias("n"))
+    return c.withColumn("k", F.row_number().over(Window.partitionBy("source_name").orderBy(F.desc("n"), "subject"))).where("k <= 10").drop("k")
+
+
+@query("SELECT sender, n FROM (SELECT coalesce(sender, '') AS sender, coalesce(subject, '') AS subject, count(*) AS n FROM thread_emails GROUP BY ALL) WHERE n > 1")
+def ref_a25_repeated_buckets(s, sf):
+    e = table(s, sf, "thread_emails").select(F.coalesce("sender", F.lit("")).alias("sender"), F.coalesce("subject", F.lit("")).alias("subject"))
+    return e.groupBy("sender", "subject").agg(F.count("*").alias("n")).where("n > 1").select("sender", "n")
+
+
+@query(_KNN + ", f AS (SELECT query, label, min(rank) AS r FROM knn GROUP BY ALL), d AS (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY r, label) AS k FROM f), g AS (SELECT q.vec_id AS query, min(CASE WHEN d.label = q.label THEN d.k END) AS k FROM embeddings q LEFT JOIN d ON d.query = q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1) SELECT n, round(avg(CASE WHEN k <= n THEN 1 ELSE 0 END), 6) AS coverage FROM g, (SELECT unnest([1, 2, 3, 5, 10]) AS n) GROUP BY n")
+def ref_a27_coverage_by_n(s, sf):
+    v = _vectors(s, sf)
+    d = R.first_seen(_knn(s, sf).join(v.select("item", "label"), "item"), "label")
+    q = v.where("item % 100 = 0").select(F.col("item").alias("query"), F.col("label").alias("gold"))
+    k = q.join(d, (q["query"] == d["query"]) & (q["gold"] == d["label"]), "left").groupBy(q["query"]).agg(F.min("distinct_rank").alias("k"))
+    n = F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 5, 10)])).alias("n")
+    return k.select("k", n).groupBy("n").agg(F.round(F.avg(F.coalesce(F.col("k") <= F.col("n"), F.lit(False)).cast("int")), 6).alias("coverage"))
+
+
+@query("SELECT bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM (SELECT CASE WHEN coalesce(trim(message_id, ' ' || chr(9) || chr(10) || chr(13)), '') = '' THEN 'no id' WHEN in_reply_to IS NULL OR in_reply_to = '' THEN 'root' ELSE 'reply' END AS bucket FROM thread_emails) GROUP BY bucket")
+def ref_a29_cause_histogram(s, sf):
+    e = table(s, sf, "thread_emails")
+    bucket = F.when(I.normalize_message_id(F.col("message_id")) == "", "no id").when(F.coalesce("in_reply_to", F.lit("")) == "", "root").otherwise("reply")
+    c = e.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return c.select("bucket", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("percent"))
+
+
+@query("SELECT a.account_id, a.folder FROM (SELECT account_id, folder, max(state) AS v FROM messages GROUP BY ALL) a FULL JOIN (SELECT account_id, folder, min(state) AS v FROM messages GROUP BY ALL) b ON a.account_id = b.account_id AND a.folder = b.folder WHERE a.v IS DISTINCT FROM b.v")
+def ref_j20_decision_flips(s, sf):
+    m = table(s, sf, "messages")
+    a = m.groupBy("account_id", "folder").agg(F.max("state").alias("v"))
+    b = m.groupBy("account_id", "folder").agg(F.min("state").alias("w"))
+    return a.join(b, ["account_id", "folder"], "full").where(~F.col("v").eqNullSafe(F.col("w"))).select("account_id", "folder")
+
+
+@query("SELECT p.account_id, round(avg(CASE WHEN p.chunk_size = q.chunk_size THEN 1.0 ELSE 0.0 END), 9) AS agreement FROM corpus_profiles p JOIN corpus_profiles q ON p.account_id = q.account_id AND p.profile_id < q.profile_id WHERE p.chunk_size IS NOT NULL AND q.chunk_size IS NOT NULL GROUP BY 1")
+def ref_j11_agreement(s, sf):
+    """Agreement of the versions of a profile: pairs of equal values from value counts, no pairs are formed."""
+    c = table(s, sf, "corpus_profiles").where("chunk_size is not null").groupBy("account_id", "chunk_size").agg(F.count("*").alias("c"))
+    n = F.sum("c")
+    both = c.groupBy("account_id").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("same"), (n * (n - 1) / 2).alias("pairs"))
+    return both.where("pairs > 0").select("account_id", F.round(F.col("same") / F.col("pairs"), 9).alias("agreement"))
+
+
+@query("SELECT account_id, bool_or(state = 'done') AS any_done, CASE WHEN count(*) = count(indexed_at) THEN 'complete' WHEN count(indexed_at) = 0 THEN 'empty' ELSE 'partial' END AS completeness FROM messages GROUP BY account_id")
+def ref_a38_completeness(s, sf):
+    n = F.count("indexed_at")
+    return table(s, sf, "messages").groupBy("account_id").agg(F.max(F.col("state") == "done").alias("any_done"), F.when(F.count("*") == n, "complete").when(n == 0, "empty").otherwise("partial").alias("completeness"))
