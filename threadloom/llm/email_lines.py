@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.encodings import repair, suspect
 from threadloom.llm.sampling import bounded_sample
 
 STATES = ("new", "intro", "quoted", "headed", "signature", "notice")
@@ -40,7 +41,8 @@ _CLOSING = (
     r"(?:bien )?cordialement|bien à vous|à bientôt|merci(?: d[’']avance| beaucoup)?|amicalement|salutations(?: distinguées)?|sincères salutations|bonne journée|"
     r"(?:muchas )?gracias|(?:un )?(?:cordial )?saludos?(?: cordiales)?|atentamente|un abrazo|"
     r"obrigad[oa]|abraços?|atenciosamente|cumprimentos|com os melhores cumprimentos|"
-    r"감사합니다|고맙습니다|드림|올림)"
+    r"감사합니다|고맙습니다|드림|올림|"
+    r"(?:mit freundlichen |viele |beste |liebe |schöne |sch�+ne )?gr�+(?:e|en)?|abra�+os|merci d�+avance|bien �+ vous|�+ bient�+t|�{6,})"
 )
 #: Kinds in order of precedence; the first that matches a line names it.
 KINDS: list[tuple[str, str]] = [
@@ -98,11 +100,19 @@ def line_kinds(lines: pa.Array) -> np.ndarray:
     return kind
 
 
+def _readable(text: str) -> str:
+    """Text with wrongly decoded spans restored, so that its closing words and marks are known; the lines stay the same."""
+    if text.isascii() or not suspect(text):
+        return text
+    fixed = repair(text)[0]
+    return fixed if fixed.count("\n") == text.count("\n") else text
+
+
 class Lines:
     """Non-blank lines of a batch of bodies: owner, number, kind and blank lines around."""
 
     def __init__(self, bodies: list[str | None]):
-        flat = pa.array([(b or "").replace("\r\n", "\n") for b in bodies], pa.large_string())
+        flat = pa.array([_readable((b or "").replace("\r\n", "\n")) for b in bodies], pa.large_string())
         split = pc.split_pattern(flat, "\n")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         values = pc.list_flatten(split)

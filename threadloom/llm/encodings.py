@@ -12,6 +12,7 @@ searched whole, in linear time; a text may hold garbled and correct spans side b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -196,6 +197,21 @@ def suspicion() -> str:
     return r"(?=[^\x00-\x7f]| û|[A-Za-zß-ž][^\x00-\x7f])(?:" + "|".join(dict.fromkeys(parts)) + ")"
 
 
+@lru_cache(maxsize=1)
+def _lead_trail() -> tuple[re.Pattern, re.Pattern]:
+    """A cheap and an exact test for a lead byte before a trail byte, as read in one of the encodings."""
+    escaped = lambda chars: "".join(re.escape(c) for c in sorted(set(chars)))
+    pairs = [("".join(_table(e)[0xC2:0xF5]), "".join(_table(e)[0x80:0xC0])) for e in READ_AS]
+    cheap = f"[{escaped(''.join(a for a, _ in pairs))}][{escaped(''.join(b for _, b in pairs))}]"
+    return re.compile(cheap), re.compile("|".join(f"[{escaped(a)}][{escaped(b)}]" for a, b in pairs))
+
+
+def suspect(text: str) -> bool:
+    """Whether a text may hold UTF-8 that was read in another encoding."""
+    cheap, exact = _lead_trail()
+    return bool(cheap.search(text) and exact.search(text))
+
+
 def suspicious(c: Column) -> Column:
     return F.coalesce(c.rlike(suspicion()), F.lit(False))
 
