@@ -713,3 +713,92 @@ def ref_j11_agreement(s, sf):
 def ref_a38_completeness(s, sf):
     n = F.count("indexed_at")
     return table(s, sf, "messages").groupBy("account_id").agg(F.max(F.col("state") == "done").alias("any_done"), F.when(F.count("*") == n, "complete").when(n == 0, "empty").otherwise("partial").alias("completeness"))
+
+
+# ---------------------------------------------------------------- further operators
+
+
+@query()
+def ref_f15_reply_chains_stripped(s, sf):
+    from threadloom.functions.replies import strip_reply_chain
+
+    return table(s, sf, "thread_emails").select("email_id", strip_reply_chain("body").alias("new_part"))
+
+
+@query("SELECT delivery_id, CASE WHEN lower(folder) IN ('inbox', 'sent', 'drafts', 'trash', 'junk', 'archive') THEN lower(folder) ELSE 'other' END AS role FROM messages WHERE lower(folder) IN ('inbox', 'sent', 'drafts', 'trash', 'junk', 'archive')")
+def ref_f52_folder_roles(s, sf):
+    from threadloom.functions.replies import folder_role
+
+    m = table(s, sf, "messages").where(F.lower("folder").isin("inbox", "sent", "drafts", "trash", "junk", "archive"))
+    return m.select("delivery_id", folder_role(F.col("folder"), F.lit("")).alias("role"))
+
+
+@query("SELECT thread_id, email_id, list_filter(a, lambda x: x <> email_id)[-24:] AS others FROM (SELECT thread_id, email_id, list(email_id) OVER (PARTITION BY account_id, thread_id ORDER BY ingested_at, email_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a FROM thread_emails WHERE thread_id <> '')")
+def ref_w8_whole_thread_context(s, sf):
+    """The last 24 others: 25 messages from the end and the row's place decide, no whole thread is collected."""
+    e = table(s, sf, "thread_emails").where("thread_id <> ''").select("thread_id", "account_id", "email_id", "ingested_at")
+    w = Window.partitionBy("account_id", "thread_id").orderBy(F.desc("ingested_at"), F.desc("email_id"))
+    k = e.withColumn("k", F.row_number().over(w))
+    last = k.where("k <= 25").groupBy("account_id", "thread_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("o"), "email_id"))), lambda x: x["email_id"]).alias("a"))
+    others = F.filter("a", lambda x: x != F.col("email_id"))
+    return k.join(last, ["account_id", "thread_id"]).select("thread_id", "email_id", F.slice(others, F.greatest(F.size(others) - 23, F.lit(1)), 24).alias("others"))
+
+
+@query("SELECT account_id, thread_id, min(email_id) AS first_id, max(email_id) AS last_id, greatest(count(*) - 2, 0) AS elided FROM thread_emails WHERE thread_id <> '' GROUP BY ALL")
+def ref_w11_bounded_threads(s, sf):
+    return table(s, sf, "thread_emails").where("thread_id <> ''").groupBy("account_id", "thread_id").agg(F.min("email_id").alias("first_id"), F.max("email_id").alias("last_id"), F.greatest(F.count("*") - 2, F.lit(0)).alias("elided"))
+
+
+@query("SELECT regexp_extract(lower(sender), '@([\\w.\\-]+)', 1) AS domain, substr(string_agg(coalesce(subject, ''), ' | ' ORDER BY email_id), 1, 800) AS joined FROM thread_emails WHERE sender LIKE '%@%' GROUP BY 1")
+def ref_a19_domain_regroup(s, sf):
+    """The first 800 characters of a domain's texts: one character and a separator a row at least, so 267 rows a domain suffice."""
+    e = table(s, sf, "thread_emails").where("sender like '%@%'").select(X.sender_domain(F.col("sender")).alias("domain"), "email_id", F.coalesce("subject", F.lit("")).alias("t"))
+    w = Window.partitionBy("domain").orderBy("email_id")
+    e = e.withColumn("k", F.row_number().over(w)).where("k <= 267")
+    return e.groupBy("domain").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("email_id", "t"))), lambda x: x["t"]), " | "), 1, 800).alias("joined"))
+
+
+@query("SELECT category, count(*) AS vectors, count(DISTINCT sender) AS senders FROM (SELECT sender, CASE WHEN contains(lower(coalesce(sender, '')), '@postbox.test') OR contains(lower(coalesce(sender, '')), '.postbox.test') THEN 'private' END AS category FROM thread_emails) WHERE category IS NOT NULL GROUP BY category")
+def ref_a20_purge_counts(s, sf):
+    e = table(s, sf, "thread_emails").select("sender", M.first_category([("private", "domain", "postbox.test")], F.col("sender"), F.lit("")).alias("category"))
+    return e.where("category is not null").groupBy("category").agg(F.count("*").alias("vectors"), F.countDistinct("sender").alias("senders"))
+
+
+@query(_KNN + ", t AS (SELECT query, count(*) FILTER (WHERE label = (SELECT label FROM embeddings e WHERE e.vec_id = query)) AS hit FROM knn WHERE rank <= 5 GROUP BY query), g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT t.query, round(t.hit / g.n, 9) AS completeness FROM t JOIN embeddings e ON e.vec_id = t.query JOIN g ON g.label = e.label")
+def ref_a32_conversation_completeness(s, sf):
+    v = _vectors(s, sf).select("item", "label")
+    q = v.select(F.col("item").alias("query"), F.col("label").alias("ql"))
+    sizes = v.groupBy(F.col("label").alias("ql")).agg(F.count("*").alias("n"))
+    hit = _knn(s, sf).where("rank <= 5").join(v, "item").join(q, "query").join(sizes, "ql")
+    return hit.groupBy("query", "n").agg(F.count_if(F.col("label") == F.col("ql")).alias("h")).select("query", F.round(F.col("h") / F.col("n"), 9).alias("completeness"))
+
+
+@query("SELECT source, count(*) AS total, count(CASE WHEN n_chars >= 500 THEN 1 END) AS relevant FROM documents WHERE source IS NOT NULL GROUP BY source")
+def ref_a35_total_relevant(s, sf):
+    return table(s, sf, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") >= 500).alias("relevant"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT content_sha256 AS k, max(state) AS v FROM messages GROUP BY 1) a FULL JOIN (SELECT content_sha256 AS k, min(state) AS v FROM messages WHERE folder = 'Archive' GROUP BY 1) b ON a.k = b.k")
+def ref_j10_overlay_merge(s, sf):
+    m = table(s, sf, "messages")
+    a = m.groupBy(F.col("content_sha256").alias("k")).agg(F.max("state").alias("local"))
+    b = m.where("folder = 'Archive'").groupBy(F.col("content_sha256").alias("k")).agg(F.min("state").alias("ref"))
+    return a.join(b, "k", "full").select("k", F.coalesce("ref", "local").alias("v"))
+
+
+@query("SELECT p.account_id, p.n AS profiles, coalesce(m.n, 0) AS deliveries FROM (SELECT account_id, count(*) AS n FROM corpus_profiles GROUP BY 1) p LEFT JOIN (SELECT account_id, count(*) AS n FROM messages GROUP BY 1) m ON m.account_id = p.account_id")
+def ref_j12_counts_with_default(s, sf):
+    p = table(s, sf, "corpus_profiles").groupBy("account_id").agg(F.count("*").alias("profiles"))
+    m = table(s, sf, "messages").groupBy("account_id").agg(F.count("*").alias("deliveries"))
+    return p.join(m, "account_id", "left").select("account_id", "profiles", F.coalesce("deliveries", F.lit(0)).alias("deliveries"))
+
+
+@query("SELECT thread_id FROM (SELECT thread_id, count(*) AS n FROM thread_emails WHERE thread_id <> '' GROUP BY 1) WHERE n BETWEEN 3 AND 6")
+def ref_p12_threads_of_size(s, sf):
+    return table(s, sf, "thread_emails").where("thread_id <> ''").groupBy("thread_id").agg(F.count("*").alias("n")).where("n between 3 and 6").select("thread_id")
+
+
+@query("SELECT tool, calls, slow, empty_results FROM (SELECT event_type AS tool, count(*) AS calls, count(CASE WHEN value > 50 THEN 1 END) AS slow, count(CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) = 0 THEN 1 END) AS empty_results FROM events GROUP BY 1)")
+def ref_p19_usage_filters(s, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(s, sf, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 50).alias("slow"), F.count_if(F.coalesce(k == 0, F.lit(False))).alias("empty_results"))
