@@ -49,7 +49,7 @@ def strip_reply_chain(s: pd.Series) -> pd.Series:
 
 def header_value(headers: Column, name: str) -> Column:
     """First value of a header of an array of name-value structs; null where it is missing."""
-    return F.filter(headers, lambda h: F.lower(h["name"]) == name.lower())[0]["value"]
+    return F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
 
 
 def is_bulk(headers: Column) -> Column:

@@ -90,7 +90,9 @@ def judged(emails: DataFrame, judgments: DataFrame, judge: Callable[[DataFrame],
 def work_bounded(df: DataFrame, order: list[str], costs: Column, limit: int) -> DataFrame:
     """L4. Rows in order until ``limit`` of them cost something; free ones do not count."""
     cut = df.select(*order, costs.alias("_c")).where("_c").orderBy(*order).limit(limit).agg(F.max(F.struct(*order)).alias("m"), F.count("*").alias("n")).first()
-    return df if cut["n"] < limit else df.where(F.struct(*order) <= F.struct(*[F.lit(v) for v in cut["m"]]))
+    kinds = dict(df.dtypes)
+    last = [F.lit(v).cast(kinds[o]).alias(o) for o, v in zip(order, cut["m"] or [])]
+    return df if cut["n"] < limit else df.where(F.struct(*order) <= F.struct(*last))
 
 
 def cluster_threads(threads: DataFrame, k: int, seed: int = 11) -> DataFrame:
