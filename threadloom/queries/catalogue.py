@@ -802,3 +802,49 @@ def ref_p12_threads_of_size(s, sf):
 def ref_p19_usage_filters(s, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     return table(s, sf, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") > 50).alias("slow"), F.count_if(F.coalesce(k == 0, F.lit(False))).alias("empty_results"))
+
+
+@query("WITH s AS (SELECT source_name AS src, list_sort(list(length(body))) AS v FROM thread_emails GROUP BY 1) SELECT src, v[CAST(floor((len(v) - 1) * 0.5) AS BIGINT) + 1] AS q50, v[CAST(floor((len(v) - 1) * 0.95) AS BIGINT) + 1] AS q95 FROM s")
+def ref_a13_lower_percentiles(s, sf):
+    from threadloom.operators.reporting import lower_percentile
+
+    return lower_percentile(table(s, sf, "thread_emails").select(F.col("source_name").alias("src"), F.length("body").cast("bigint").alias("n")), ["src"], "n", [0.5, 0.95])
+
+
+@query("SELECT CASE WHEN NOT contains(eml_path, '/') THEN '(root)' ELSE array_to_string(string_split(eml_path, '/')[1:least(2, len(string_split(eml_path, '/')) - 1)], '/') END AS label, count(*) AS total, count(CASE WHEN c IS NULL THEN 1 END) AS unclaimed FROM (SELECT DISTINCT eml_path FROM messages) m LEFT JOIN (SELECT DISTINCT eml_path AS p, 1 AS c FROM messages WHERE state = 'done') d ON d.p = m.eml_path GROUP BY 1")
+def ref_a17_coverage(s, sf):
+    from threadloom.operators.reporting import coverage
+
+    m = table(s, sf, "messages").select(F.col("eml_path").alias("path"), "state").where("path is not null")
+    return coverage(m, m.where("state = 'done'"))
+
+
+@query("SELECT count(*) AS n_rows, count(CASE WHEN coalesce(trim(text), '') = '' THEN 1 END) AS n_empty, count(CASE WHEN coalesce(trim(sender), '') = '' THEN 1 END) AS without_sender, count(CASE WHEN coalesce(trim(lang), '') = '' THEN 1 END) AS without_lang FROM documents")
+def ref_p25_completeness(s, sf):
+    from threadloom.operators.reporting import completeness
+
+    return completeness(table(s, sf, "documents").select("text", "sender", "lang"), "text", ["sender", "lang"])
+
+
+@query("SELECT domain, n FROM (SELECT regexp_extract(lower(sender), '@([\\w.\\-]+)', 1) AS domain, count(*) AS n FROM thread_emails WHERE sender IS NOT NULL GROUP BY 1) WHERE n >= 20 AND domain NOT IN (SELECT split_part(address, '@', 2) FROM account_addresses) AND domain <> ''")
+def ref_p18_candidate_domains(s, sf):
+    from threadloom.operators.reporting import candidate_domains
+
+    e = table(s, sf, "thread_emails").where("sender is not null").groupBy(X.sender_domain(F.col("sender")).alias("domain")).agg(F.count("*").alias("n")).where("domain <> ''")
+    own = table(s, sf, "account_addresses").select(F.split_part("address", F.lit("@"), F.lit(2)).alias("domain"))
+    return candidate_domains(e, 20, own, own.limit(0)).select("domain", "n")
+
+
+@query()
+def ref_j17_slice_with_gold(s, sf):
+    from threadloom.operators.reporting import slice_with_gold
+
+    t = table(s, sf, "thread_emails").where("thread_id <> ''").groupBy("thread_id").agg(F.count("*").alias("n_emails"))
+    return slice_with_gold(t, table(s, sf, "documents").where("thread_id is not null").select("thread_id"), 500)
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+def ref_f50_sanitized(s, sf):
+    from threadloom.operators.reporting import sanitized_query
+
+    return table(s, sf, "documents").where("not text rlike '[^\\\\x00-\\\\x7f]'").select("doc_id", sanitized_query(F.col("text")).alias("q"))
