@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import evaluation as E
 from threadloom.functions import identity as I
 from threadloom.functions import text as X
+from threadloom.functions.replies import ROLES, folder_role
 from threadloom.operators import mail as M
 from threadloom.operators import retrieval as R
 from threadloom.runtime import table
@@ -71,10 +72,20 @@ def ref_f3_thread_ids(s, sf):
     return e.select("email_id", I.thread_id(F.col("message_id"), F.col("in_reply_to"), F.lit(None).cast("string"), F.col("subject")).alias("tid"))
 
 
-@query("SELECT doc_id, sha256(trim(regexp_replace(coalesce(sender, ''), '\\s+', ' ', 'g')) || chr(0) || '' || chr(0) || coalesce(lang, '') || chr(0) || trim(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \\t]+(\\n|$)', '\\1', 'g'), '[ \\t]+$', '', 'g'), chr(10) || ' ' || chr(9) || chr(13))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]') AND NOT regexp_matches(coalesce(sender, ''), '[^\\x00-\\x7f]')")
+#: White space as Unicode has it, and the four separator controls.
+_U = "[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{_U}+', ''), '{_U}+$', '')"
+
+
+@query(
+    f"SELECT doc_id, sha256({_strip(f"regexp_replace(coalesce(sender, ''), '{_U}+', ' ', 'g')")} || chr(0) || '' || chr(0) || coalesce(lang, '') || chr(0) || "
+    f"{_strip(f"array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l: regexp_replace(l, '{_U}+$', '')), chr(10))")}) AS digest FROM documents"
+)
 def ref_f5_content_hashes(s, sf):
-    d = table(s, sf, "documents").where("not text rlike '[^\\\\x00-\\\\x7f]' and not coalesce(sender, '') rlike '[^\\\\x00-\\\\x7f]'")
-    return d.select("doc_id", I.content_sha256(F.col("sender"), F.lit(""), F.col("lang"), F.col("text")).alias("digest"))
+    return table(s, sf, "documents").select("doc_id", I.content_sha256(F.col("sender"), F.lit(""), F.col("lang"), F.col("text")).alias("digest"))
 
 
 @query(f"SELECT delivery_id, CASE WHEN length(k) > 998 THEN 'mid-sha256:' || sha256(k) ELSE k END AS message_key FROM (SELECT delivery_id, CASE WHEN m <> '' THEN m ELSE content_sha256 END AS k FROM (SELECT delivery_id, content_sha256, {_mid('message_id')} AS m FROM messages))")
@@ -177,12 +188,9 @@ def ref_p6_tagging_rates(s, sf):
     return table(s, sf, "thread_emails").groupBy("source_name").agg(F.count("*").alias("n"), F.count_if(tagged).alias("tagged"))
 
 
-@query("SELECT email_id FROM thread_emails WHERE length(trim(body, ' ' || chr(9) || chr(10) || chr(13))) < 80 AND NOT regexp_matches(body, '[^\\x00-\\x7f]')")
+@query(f"SELECT email_id FROM thread_emails WHERE length({_strip('body')}) < 80")
 def ref_p11_terse_emails(s, sf):
-    return table(s, sf, "thread_emails").where((F.length(I.strip(F.col("body"))) < 80) & ~F.col("body").rlike(r"[^\x00-\x7f]")).select("email_id")
-
-
-_STATS = "(SELECT sha, count(DISTINCT thread) AS threads FROM blobs GROUP BY sha)"
+    return table(s, sf, "thread_emails").where(F.length(I.strip(F.col("body"))) < 80).select("email_id")
 
 
 @query(
@@ -725,12 +733,12 @@ def ref_f15_reply_chains_stripped(s, sf):
     return table(s, sf, "thread_emails").select("email_id", strip_reply_chain("body").alias("new_part"))
 
 
-@query("SELECT delivery_id, CASE WHEN lower(folder) IN ('inbox', 'sent', 'drafts', 'trash', 'junk', 'archive') THEN lower(folder) ELSE 'other' END AS role FROM messages WHERE lower(folder) IN ('inbox', 'sent', 'drafts', 'trash', 'junk', 'archive')")
-def ref_f52_folder_roles(s, sf):
-    from threadloom.functions.replies import folder_role
+_ROLE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROLES.items())
+
 
-    m = table(s, sf, "messages").where(F.lower("folder").isin("inbox", "sent", "drafts", "trash", "junk", "archive"))
-    return m.select("delivery_id", folder_role(F.col("folder"), F.lit("")).alias("role"))
+@query(f"SELECT delivery_id, CASE lower(regexp_extract(folder, '([^/.]+)$', 1)) {_ROLE} ELSE 'other' END AS role FROM messages")
+def ref_f52_folder_roles(s, sf):
+    return table(s, sf, "messages").select("delivery_id", folder_role(F.col("folder"), F.lit("")).alias("role"))
 
 
 @query("SELECT thread_id, email_id, list_filter(a, lambda x: x <> email_id)[-24:] AS others FROM (SELECT thread_id, email_id, list(email_id) OVER (PARTITION BY account_id, thread_id ORDER BY ingested_at, email_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a FROM thread_emails WHERE thread_id <> '')")
@@ -843,8 +851,10 @@ def ref_j17_slice_with_gold(s, sf):
     return slice_with_gold(t, table(s, sf, "documents").where("thread_id is not null").select("thread_id"), 500)
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query(
+    "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}\\s\\x{b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', ' ', 'g'), '[\\s\\x{b}]+', ' ', 'g')) AS q FROM documents"
+)
 def ref_f50_sanitized(s, sf):
     from threadloom.operators.reporting import sanitized_query
 
-    return table(s, sf, "documents").where("not text rlike '[^\\\\x00-\\\\x7f]'").select("doc_id", sanitized_query(F.col("text")).alias("q"))
+    return table(s, sf, "documents").select("doc_id", sanitized_query(F.col("text")).alias("q"))
