@@ -27,8 +27,8 @@ from threadloom.runtime import materialise
 
 #: Items and open containers a best-fit shard aims at.
 SHARD = 20_000
-#: Container numbers: planned ones count from 0, then full pieces of cut documents, then what the shards opened.
-_FULL, _OPENED = 1 << 60, 1 << 61
+#: Container names are exact at any size: 'p' and a number for planned ones, 'f' with key and part for full pieces of cut documents,
+#: 's' with shard and number for what the shards opened.
 
 
 def group_sizes(histogram: list[tuple[int, int]], groups: int) -> list[tuple[int, int, int]]:
@@ -112,11 +112,11 @@ def _best_fit(capacity: int, small: pd.DataFrame, open_: pd.DataFrame) -> pd.Dat
     free = sorted(zip(open_["_free"].tolist(), open_["container_id"].tolist()))
     made, out = 0, []
     for key, part, n in sorted(zip(small["_key"].tolist(), small["part_no"].tolist(), small["n"].tolist()), key=lambda r: (-r[2], r[0], r[1])):
-        i = bisect.bisect_left(free, (n, -1))
+        i = bisect.bisect_left(free, (n, ""))
         if i < len(free):
             room, c = free.pop(i)
         else:
-            room, c = capacity, _OPENED + (shard << 32) + made
+            room, c = capacity, f"s{shard}-{made}"
             made += 1
         out.append((key, part, n, c))
         if room > n:
@@ -134,7 +134,7 @@ def pack(sized: DataFrame, key: str, tokens: str, capacity: int, groups: int = 1
         .select("_key", F.explode(F.sequence(F.lit(1), whole.cast("int"))).alias("part_no"))
         .select("_key", "part_no", F.lit(capacity).cast("bigint").alias("n"))
     )
-    full = full.withColumn("container_id", F.lit(_FULL) + F.pmod(F.xxhash64("_key", "part_no"), F.lit(1 << 59)))
+    full = full.withColumn("container_id", F.concat(F.lit("f"), "_key", F.lit("-"), "part_no"))
     over = F.col("_n") > capacity
     items = base.select(
         "_key", F.when(over, whole.cast("int") + 1).otherwise(1).alias("part_no"), F.when(over, F.col("_n") % capacity).otherwise(F.col("_n")).alias("n")
@@ -155,9 +155,9 @@ def pack(sized: DataFrame, key: str, tokens: str, capacity: int, groups: int = 1
         table = spark.createDataFrame(slots(plan(made, capacity)), "_g int, _from bigint, _to bigint, _per bigint, _base bigint")
         r = F.col("_rank") - 1
         placed = ranked.join(F.broadcast(table), "_g").where((r >= F.col("_from")) & (r < F.col("_to")))  # groups x patterns rows
-        placed = placed.select("_key", "part_no", "n", (F.col("_base") + F.floor((r - F.col("_from")) / F.col("_per"))).cast("bigint").alias("container_id"))
+        placed = placed.select("_key", "part_no", "n", F.concat(F.lit("p"), (F.col("_base") + F.floor((r - F.col("_from")) / F.col("_per"))).cast("bigint")).alias("container_id"))
     else:
-        placed = large.withColumn("container_id", F.lit(0).cast("bigint"))
+        placed = large.withColumn("container_id", F.lit("p0"))
     placed = materialise(placed, "placed")
     little = items.where(F.col("n") <= least)
     free = placed.groupBy("container_id").agg((F.lit(capacity) - F.sum("n")).alias("_free")).where("_free > 0")
@@ -165,6 +165,6 @@ def pack(sized: DataFrame, key: str, tokens: str, capacity: int, groups: int = 1
     shards = max(1, -(-max(n_small, n_free) // SHARD))
     a = little.withColumn("_shard", F.pmod(F.xxhash64("_key", "part_no"), F.lit(shards)).cast("int")).groupBy("_shard")
     b = free.withColumn("_shard", F.pmod(F.xxhash64("container_id"), F.lit(shards)).cast("int")).groupBy("_shard")
-    fitted = a.cogroup(b).applyInPandas(lambda x, y: _best_fit(capacity, x, y), "_key bigint, part_no int, n bigint, container_id bigint")
+    fitted = a.cogroup(b).applyInPandas(lambda x, y: _best_fit(capacity, x, y), "_key bigint, part_no int, n bigint, container_id string")
     out = full.unionByName(placed).unionByName(fitted)
     return out.select("container_id", F.col("_key").alias(key), "part_no", ((F.col("part_no") - 1) * F.lit(capacity).cast("bigint")).alias("token_start"), F.col("n").alias("n_tokens"))
