@@ -49,7 +49,7 @@ def fragments(emails: DataFrame, addresses: DataFrame) -> DataFrame:
     return rows.select(
         "thread_id",
         "email_id",
-        F.xxhash64("account_id", "thread_id").alias("_th"),
+        F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("account_id").cast("string"), F.lit("")), "thread_id"))).alias("_th"),  # 128 bits: threads are many
         F.when(F.col("_mid") != "", F.xxhash64(F.lit("m"), "_mid")).otherwise(F.xxhash64(F.lit("row"), "email_id")).alias("_mh"),
         F.when(F.col("_parent") != "", F.xxhash64(F.lit("m"), "_parent")).alias("_ph"),
         (F.col("thread_id").startswith("subj:") | (F.col("_mid") == F.col("thread_id"))).alias("_rooted"),
