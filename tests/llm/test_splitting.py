@@ -22,6 +22,10 @@ def test_pieces_cover_texts_within_the_limit(texts, size, overlap):
     check(texts, size, min(overlap, (size - 1) // 2))
 
 
+def test_a_boundary_within_the_overlap_ends_no_first_piece():
+    check([" aaaaa", "a bbbbbbbb"], 5, 2)
+
+
 def test_natural_boundaries():
     t = "One two. Three four five.\n\nSix seven eight nine ten. Eleven twelve thirteen"
     k, a, z = cut_texts([t], np.array([40]), np.array([0]))

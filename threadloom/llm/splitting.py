@@ -84,8 +84,9 @@ def cut_texts(texts: list[str], sizes: np.ndarray, overlaps: np.ndarray) -> tupl
     reach = state + np.where(is_begin, sizes[doc], step[doc])
     limit = np.minimum(reach, stop[doc])
     half = state + (limit - state) // 2
+    past = state + np.where(is_begin, overlaps[doc], 0)  # a first piece reaches beyond the overlap, so that the next one starts inside the text
     best = np.full(len(state), -1)
-    for at, least in ((paragraph, half), (line, half), (sentence, half), (word, state), (cluster, state)):
+    for at, least in ((paragraph, half), (line, half), (sentence, half), (word, past), (cluster, past)):
         found = _last_at_most(at, limit)
         best = np.where((best < 0) & (found > least), found, best)
     best = np.where(best < 0, limit, best)
