@@ -60,3 +60,27 @@ def test_redacted(mails):
 def test_empty(spark):
     df = spark.createDataFrame([], "email_id bigint, body string, to_text string, cc_text string, sender string")
     assert find_personal(df).count() == 0
+
+
+def test_names_of_every_header_and_body(spark, mails):
+    """Far more e-mails than the sample: a surname in one header only, in one sender only, or in bodies only, is found whole."""
+    ends = ["arn", "elk", "ist", "orp", "und", "yle", "ask", "eft", "irm", "ond"]
+    rare = [f"Zq{a}{b}" for a in ends for b in ends[:3]]
+    columns = "email_id bigint, body string, to_text string, cc_text string, sender string"
+    rows = []
+    for i, last in enumerate(rare):
+        header = f"Heike {last} <h{i}@x.example>"
+        rows.append((-100 - i, "See below.\n", *[(header, None, "a@x.example"), (None, header, "a@x.example"), (None, None, header)][i % 3]))
+        rows.append((-200 - i, f"Yesterday I spoke to Heike {last} about it.\n", "", "", ""))
+    rows += [(-300 - i, "Yesterday I spoke to Heike Wrzoldan about it.\n", "", "", "") for i in range(2)]
+    got = find_personal(mails.where("email_id > 0").unionByName(spark.createDataFrame(rows, columns)), sample=150).where("email_id < -99 and pii_type = 'name'").collect()
+    body = {r["email_id"]: r["pii_text"] for r in got if r["field_name"] == "body"}
+    assert body == {-200 - i: f"Heike {last}" for i, last in enumerate(rare)} | {-300: "Heike Wrzoldan", -301: "Heike Wrzoldan"}
+    heads = {r["email_id"]: r["pii_text"] for r in got if r["field_name"] != "body"}
+    assert heads == {-100 - i: f"Heike {last}" for i, last in enumerate(rare) if i % 3 < 2}
+
+
+def test_run_of_which_one_word_is_known():
+    lex = build_lexicon(["Ines Marrby <i@x>", "피도현 <p@x>", "김서윤 <k@x>"], ["I met Ines Wrzoldan and Xaver Marrby.", "Ines Rechnung", "Die Rechnung, die Rechnung."])
+    text = "Then Ines Wrzoldan; Xaver Marrby; Ines Rechnung; Wrzoldan and 김도현님."
+    assert [text[a:b] for a, b, _ in name_candidates(text, lex)] == ["Ines Wrzoldan", "Xaver Marrby", "Ines", "Wrzoldan", "김도현"]

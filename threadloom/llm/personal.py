@@ -1,14 +1,16 @@
 """Problem 6: personal data inside free text, found and replaced by typed placeholders.
 
 High-recall generators propose overlapping spans: mail addresses in plain and spelled-out form, runs of
-digits, street addresses, and runs of capitalised or Hangul words of which one is known from headers.
+digits, street addresses, and runs of name parts.
 Boosted trees score every candidate by its format and its surroundings; a span counts where its score
 reaches a threshold calibrated on held-out candidates.  Of overlapping spans the street wins over the
 mail address, that over numbers, numbers over names, and longer over shorter.
 
-The trees and the lexicon of name parts are fitted on at most ``sample`` e-mails (default 6,000, those with
-the smallest hash of the id; header names come from ten times as many).  The annotation they learn from
-comes from cues beside a candidate ("call", "identity number", "part no.") and from header structure.
+The lexicon of name parts is counted over the headers and bodies of all e-mails.  A capitalised word that no header
+has is a name part too where it directly follows a known first name, or leads a known family name, in at least half of
+its occurrences in all bodies; so a run needs one known word.  The trees are fitted on at most ``sample`` e-mails
+(default 6,000, those with the smallest hash of the id).  The annotation they learn from comes from cues beside a
+candidate ("call", "identity number", "part no.") and from header structure.
 Wrongly decoded text is repaired first and spans are mapped back, so ``pii_text`` is as stored.
 
 Defined results: null and empty fields hold nothing; a text that occurs twice in a field is one row; long
@@ -20,8 +22,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,7 @@ TYPES = ("street", "email", "phone", "id_number", "name")
 _UP = "A-ZÀ-ÖØ-ÞŁŚŠŽŒ"
 _W = r"[^\W\d_]"
 _WORDS = rf"[{_UP}](?:{_W}|[’'-](?={_W}))*"
-_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'=$-")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'=$-"
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _DIGITS = re.compile(r"\d+")
 _SPELLED = re.compile(
@@ -68,6 +71,10 @@ _GOODS_AFTER = re.compile(r"^\W{0,3}(?:fits|of the plan|shows|moves)\b", re.I)
 _GREETING = re.compile(r"(?:hi|hello|hey|dear|good (?:morning|afternoon|evening)|guten (?:tag|morgen|abend)|hallo|liebe[r]?|lieber|sehr geehrte\w*(?: herr| frau)?|bonjour|bonsoir|salut|cher(?:/chère)?|chère|hola|estimad\w(?:/\w)?|buenos días|buenas tardes|prezad\w(?:\(a\))?|olá|oi|bom dia|boa tarde|car[oa]|안녕하세요|.{0,14}vorab,)", re.I)
 _HEAD_LEAD = re.compile(r"\*?(?:from|to|cc|von|an|de|para|à|da|kopie|copie|organizer) ?:\*?(?:.*,)?", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LOWER = re.compile(r"(?<!\w)[a-zß-ÿ]{3,12}(?!\w)")
+_WHOLE = re.compile(rf"(?<!\w){_W}(?:{_W}|[’'-](?={_W}))*")
+_NEXT_WORD = re.compile(rf" ({_WORDS})(?!\w)")
+_WORD_BEFORE = re.compile(rf"(?<!\w)({_WORDS}) \Z")
 _SPACES = re.compile(r"\s*\n[>|\s]*")
 
 
@@ -84,7 +91,7 @@ class Lexicon:
         """All name parts; built once per process."""
         import ahocorasick
 
-        if (made := _AUTOMATA.get(id(self))) is None:
+        if (held := _AUTOMATA.get(id(self))) is None:
             made = ahocorasick.Automaton()
             for w in {*self.first, *self.last}:
                 if len(w) > 1 and w[0].isalpha() and (w[0].isupper() or "가" <= w[0] <= "힣"):
@@ -92,11 +99,11 @@ class Lexicon:
             made.add_word("\0", "\0")
             made.make_automaton()
             _AUTOMATA.clear()
-            _AUTOMATA[id(self)] = made
-        return made
+            held = _AUTOMATA[id(self)] = (self, made)  # held, so that no other lexicon gets its id
+        return held[1]
 
 
-_AUTOMATA: dict[int, object] = {}
+_AUTOMATA: dict[int, tuple] = {}
 
 
 def header_names(text: str | None) -> list[tuple[str, int, int]]:
@@ -117,29 +124,120 @@ def name_parts(name: str) -> tuple[str, str] | None:
     return parts[0], " ".join(parts[1:])
 
 
-def build_lexicon(headers: list[str], bodies: list[str]) -> Lexicon:
-    first: dict[str, set] = defaultdict(set)
-    last: dict[str, set] = defaultdict(set)
-    for h in headers:
-        for n, _, _ in header_names(h):
-            a, b = name_parts(n)
-            if a and b and not re.search(r"\d", n):
-                first[a].add(b)
-                for part in b.split(" "):
-                    last[part].add(a)
-                if "가" <= b[0] <= "힣":
-                    first[b + a].update(("*full*", b))
-    lower = Counter(w for b in bodies for w in re.findall(r"(?<!\w)[a-zß-ÿ]{3,12}(?!\w)", b))
-    words = set(first) | set(last)
-    lex = Lexicon({k: len(v) for k, v in first.items()}, {k: len(v) for k, v in last.items()}, {w: lower[w.lower()] for w in words if lower[w.lower()]})
-    after: Counter = Counter()
+def _header_pairs(header: str) -> Iterator[tuple[str, str, str]]:
+    """("first" or "last", name part, partner) of the display names of a line of a header."""
+    for n, _, _ in header_names(header):
+        a, b = name_parts(n)
+        if a and b and not re.search(r"\d", n):
+            yield "first", a, b
+            for part in b.split(" "):
+                yield "last", part, a
+            if "가" <= b[0] <= "힣":
+                yield "first", b + a, "*full*"
+                yield "first", b + a, b
+
+
+def _partners(pairs: Iterable[tuple[str, str, str]]) -> Lexicon:
+    seen: dict[str, dict[str, set]] = {"first": defaultdict(set), "last": defaultdict(set)}
+    for kind, part, partner in pairs:
+        seen[kind][part].add(partner)
+    return Lexicon(*[{k: len(v) for k, v in seen[kind].items()} for kind in ("first", "last")])
+
+
+def _body_counts(bodies: Iterable[str], lex: Lexicon) -> Counter:
+    """Counts of a body's (kind, word, partner): "plain" name parts in lower case, words "after" a name, unknown words beside a known part ("first", "last")."""
+    out: Counter = Counter()
+    import ahocorasick
+
+    lowered = ahocorasick.Automaton()
+    for w in {v.lower() for v in (*lex.first, *lex.last, "\0")}:
+        lowered.add_word(w, w)
+    lowered.make_automaton()
     for b in bodies:
+        for end, w in lowered.iter(b):
+            if (m := _LOWER.match(b, end + 1 - len(w))) and m.end() == end + 1:
+                out["plain", w, ""] += 1
         tokens = _known_words(b, lex)
         for (_, e, w), (x, y, v) in zip(tokens, tokens[1:]):
             if b[e:x] == " " and w in lex.first and v in lex.last and (m := _LETTERS.match(b, y + 1)) and b[y] == " " and m[0].islower():
-                after[m[0]] += 1
-    lex.after = dict(after)
-    return lex
+                out["after", m[0], ""] += 1
+        starts, ends = {a for a, _, _ in tokens}, {e for _, e, _ in tokens}
+        for a, e, w in tokens:
+            if w in lex.first:
+                if e + 1 not in starts and not "가" <= w[0] <= "힣" and (m := _NEXT_WORD.match(b, e)):
+                    out["last", m[1], w] += 1
+            elif a - 1 not in ends and b[a - 1 : a] == " " and b[a - 2 : a - 1].isalpha() and (m := _WORD_BEFORE.search(b[max(0, a - 40) : a])) and not _GREETING.fullmatch(m[1]) and not (lex.first.get(m[1]) or lex.last.get(m[1])):
+                out["first", m[1], w] += 1
+    return out
+
+
+def _occurrences(bodies: Iterable[str], words: frozenset[str]) -> Counter:
+    """How often each of ``words`` stands in the bodies, in whatever case; keys are in lower case."""
+    return Counter(w for b in bodies for m in _WHOLE.finditer(b) if (w := m[0].lower()) in words)
+
+
+def _rates(lex: Lexicon, plain: dict[str, float], after: dict[str, float], beside: Iterable[tuple[str, str, int, int]], total: dict[str, int]) -> Lexicon:
+    """A lexicon with ``lex``'s partners, with counts in bodies, and with the unknown words (kind, word, partners, times) that mostly stand beside a known part."""
+    parts = {"first": dict(lex.first), "last": dict(lex.last)}
+    for kind, word, partners, times in beside:
+        if 2 * times >= total[word.lower()]:
+            parts[kind].setdefault(word, partners)
+    words = {*parts["first"], *parts["last"]}
+    return Lexicon(parts["first"], parts["last"], {w: n for w in words if (n := round(plain.get(w.lower(), 0)))}, {w: round(n) for w, n in after.items()})
+
+
+def build_lexicon(headers: list[str], bodies: list[str]) -> Lexicon:
+    """The lexicon of some headers and bodies in memory; ``corpus_lexicon`` counts the same over a table."""
+    lex = _partners(p for h in headers for p in _header_pairs(h))
+    counts = _body_counts(bodies, lex)
+    plain = {w: n for (k, w, _), n in counts.items() if k == "plain"}
+    after = {w: n for (k, w, _), n in counts.items() if k == "after"}
+    near = Counter()
+    for (k, w, _), n in counts.items():
+        if k in ("first", "last"):
+            near[k, w] += n
+    beside = [(k, w, sum(x[:2] == (k, w) for x in counts), n) for (k, w), n in near.items()]
+    return _rates(lex, plain, after, beside, _occurrences(bodies, frozenset(w.lower() for _, w in near)) if near else {})
+
+
+def corpus_lexicon(emails: DataFrame, body: str, to: str, cc: str, sender: str, sample: int) -> Lexicon:
+    """The lexicon of all headers and bodies.
+
+    Only its rows, one per different name part, come to the driver.  Counts in bodies are features with fixed steps, so they
+    are given per ``sample`` e-mails of a larger table.
+    """
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lines = {line for h in set(b["h"]) for line in h.split("\n")}
+            yield pd.DataFrame(list({p for line in lines for p in _header_pairs(line)}), columns=["kind", "part", "partner"])
+
+    heads = emails.select(F.explode(F.array(to, cc, sender)).alias("h")).where("h <> ''").mapInPandas(pairs, "kind string, part string, partner string")
+    lex = Lexicon()
+    for r in heads.groupBy("kind", "part").agg(F.countDistinct("partner").alias("n")).collect():
+        getattr(lex, r["kind"])[r["part"]] = r["n"]
+    first, last = lex.first, lex.last
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Lexicon(first, last)
+        for b in batches:
+            yield pd.DataFrame([(*k, n) for k, n in _body_counts(b["b"], known).items()], columns=["kind", "word", "partner", "n"])
+
+    bodies = emails.select(F.col(body).alias("b")).where("b <> ''")
+    rows = bodies.mapInPandas(counts, "kind string, word string, partner string, n bigint")
+    per_word = rows.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.countDistinct("partner").alias("partners")).collect()
+    scale = sample / max(sample, emails.count())
+    plain, after = ({r["word"]: r["n"] * scale for r in per_word if r["kind"] == k} for k in ("plain", "after"))
+    beside = [(r["kind"], r["word"], r["partners"], r["n"]) for r in per_word if r["kind"] in ("first", "last")]
+    total: dict[str, int] = {}
+    if beside:
+        words = frozenset(w.lower() for _, w, _, _ in beside)
+
+        def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame(list(_occurrences(b["b"], words).items()), columns=["word", "n"])
+
+        total = {r["word"]: r["n"] for r in bodies.mapInPandas(occurrences, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return _rates(lex, plain, after, beside, total)
 
 
 def _bucket(n: int, steps=(0, 1, 3, 8, 30)) -> int:
@@ -153,11 +251,14 @@ def _near(text: str, a: int, b: int) -> tuple[str, str]:
 
 def _edges(text: str, a: int, b: int) -> tuple[int, int]:
     """What stands directly before and after: line edge, space, letter, digit or a sign."""
-    def kind(c: str, edge: bool) -> int:
-        if not c or c == "\n":
-            return 0
-        return 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4 + ",.:;|/(<[\"'-–!?>)]".find(c) + 1
-    return min(kind(text[a - 1 : a], True), 31), min(kind(text[b : b + 1], False), 31)
+    return _sign(text[a - 1 : a]), _sign(text[b : b + 1])
+
+
+@lru_cache(maxsize=1 << 12)
+def _sign(c: str) -> int:
+    if not c or c == "\n":
+        return 0
+    return min(1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4 + ",.:;|/(<[\"'-–!?>)]".find(c) + 1, 31)
 
 
 def _number_spans(text: str) -> Iterator[re.Match]:
@@ -182,6 +283,18 @@ def _number_spans(text: str) -> Iterator[re.Match]:
                 yield m
 
 
+@lru_cache(maxsize=1 << 15)
+def _cue(low: str) -> tuple[int, int]:
+    """Kind and end of the last cue; quoted mail brings the same context again and again."""
+    cue, cue_at = 0, -1
+    for k, words in _CUES.items():
+        for c in words:
+            at = low.rfind(c)
+            if at >= 0 and at + len(c) > cue_at:
+                cue, cue_at = k, at + len(c)
+    return cue, cue_at
+
+
 def number_candidates(text: str) -> list[tuple[int, int, tuple]]:
     out = []
     for m in _number_spans(text):
@@ -191,12 +304,8 @@ def number_candidates(text: str) -> list[tuple[int, int, tuple]]:
             continue
         a, b = m.span()
         left, right = _near(text, a, b)
-        cue, cue_at, low = 0, -1, " " + left.lower()
-        for k, words in _CUES.items():
-            for c in words:
-                at = low.rfind(c)
-                if at >= 0 and at + len(c) > cue_at:
-                    cue, cue_at = k, at + len(c)
+        low = " " + left.lower()
+        cue, cue_at = _cue(low)
         gap = len(low) - cue_at if cue else 44
         groups = re.findall(r"\w+", s)
         line_start = text.rfind("\n", 0, a) + 1
@@ -239,8 +348,8 @@ def mail_candidates(text: str) -> list[tuple[int, int, tuple]]:
     at = text.find("@")
     while at >= 0:
         start = at
-        while start and text[start - 1] in _LOCAL:
-            start -= 1
+        while start and (n := len(part := text[max(0, start - 40) : start]) - len(part.rstrip(_LOCAL))):
+            start -= n
         while start < at and text[start] in ".%+'=$-":
             start += 1
         if start < at and (m := _DOMAIN.match(text, at + 1)):
@@ -302,7 +411,11 @@ def _known_words(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for last, w in lex.automaton().iter(text):
         a, b = last + 1 - len(w), last + 1
-        if a and (text[a - 1].isalpha() or text[a - 1] in "@_" or (text[a - 1] in ".-" and text[a - 2 : a - 1].islower())):
+        if len(w) == 2 and "가" <= text[a - 1 : a] <= "힣" and text[a - 1] in lex.last and w in lex.first and not text[a - 2 : a - 1].isalpha():
+            a, w = a - 1, text[a - 1 : b]  # a known family and given name that no header has together
+            if out and out[-1][:2] == (a, b):
+                continue
+        elif a and (text[a - 1].isalpha() or text[a - 1] in "@_" or (text[a - 1] in ".-" and text[a - 2 : a - 1].islower())):
             continue
         if "가" <= w[0] <= "힣":
             if out and out[-1][0] == a:
@@ -317,7 +430,7 @@ def _known_words(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
 
 
 def name_candidates(text: str, lex: Lexicon, own: frozenset[str] = frozenset()) -> list[tuple[int, int, tuple]]:
-    """Runs of known name parts, with an initial before or after."""
+    """Runs of name parts of the lexicon, with an initial before or after; of a Hangul full name that no header has, a known family and given name."""
     out = []
     tokens = _known_words(text, lex)
     first, last = lex.first, lex.last
@@ -325,12 +438,13 @@ def name_candidates(text: str, lex: Lexicon, own: frozenset[str] = frozenset())
     while i < n:
         a, b, w = tokens[i]
         if "가" <= w[0] <= "힣":
-            if w in first:
+            given = w if w in first else w[1:]
+            if given in first:
                 end = b
                 while "가" <= text[end : end + 1] <= "힣":
                     end += 1
                 rest = text[b:end]
-                out.append((a, b, _name_features(text, a, b, [w], lex, own, 0, 1 + (_JOSA.index(rest) > 1 if rest in _JOSA else 8))))
+                out.append((a, b, _name_features(text, a, b, [given], lex, own, 0, 1 + (_JOSA.index(rest) > 1 if rest in _JOSA else 8))))
             i += 1
             continue
         j, end, words = i, b, [w]
@@ -393,7 +507,10 @@ def label_name(f: tuple) -> int:
     if initial == 1:
         return 1 if last >= 2 else 0
     if words >= 2:
-        return 1 if (first >= 2 and zlast >= 2) or (comma and last >= 2 and zfirst >= 2) else 0
+        known = max(min(first, zlast), min(last, zfirst) if comma else 0)
+        if known == 1 and (first >= 2 or comma and zfirst >= 2):  # a family name seen with one partner: with a common first name it is a person
+            return 1 if first >= 3 or comma and zfirst >= 3 else -1
+        return int(known >= 2)
     if first < 3:  # a family name or a place by itself
         return 1 if last >= 2 and (greeting or (bare and eol)) and not first else 0
     if greeting or salute or (bare and eol) or addr or dash and eol or head:
@@ -485,9 +602,8 @@ def _own(*headers: str | None) -> frozenset[str]:
     return frozenset(w for h in headers for n, _, _ in header_names(h) for w in n.replace(",", " ").split())
 
 
-def fit(rows: list[tuple[str, str, str, str]], headers: list[str], seed: int = 3) -> Finder:
+def fit(rows: list[tuple[str, str, str, str]], lex: Lexicon, seed: int = 3) -> Finder:
     """``rows``: (body, to, cc, sender) of the sample."""
-    lex = build_lexicon(headers, [r[0] for r in rows])
     data: dict[str, list[tuple[tuple, int]]] = {t: [] for t in TYPES}
     for body, to, cc, sender in rows:
         own = _own(to, cc, sender)
@@ -517,8 +633,7 @@ def fit(rows: list[tuple[str, str, str, str]], headers: list[str], seed: int = 3
 def fitted(emails: DataFrame, key: str, body: str, to: str, cc: str, sender: str, sample: int = 6000) -> Finder:
     empty = F.lit("")
     rows = [tuple(r)[1:5] for r in bounded_sample(emails.select(key, *[F.coalesce(F.col(c), empty).alias(f"_{i}") for i, c in enumerate((body, to, cc, sender))]), key, sample)]
-    heads = bounded_sample(emails.select(key, F.concat_ws("\n", to, cc, sender).alias("_h")), key, 10 * sample)
-    return fit(rows, [line for r in heads for line in r["_h"].split("\n")])
+    return fit(rows, corpus_lexicon(emails, body, to, cc, sender, sample))
 
 
 def _batches(finder: Finder, b: pd.DataFrame, fields: list[str]):
