@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+
 from threadloom.queries import catalogue
 
 
@@ -21,3 +23,17 @@ def test_sparse_terms_of_every_script(spark, tmp_path):
         want |= {(q, d, scores[d], i) for i, d in enumerate(sorted(scores, key=lambda d: (-scores[d], d)))}
     got = {(r["query"], r["item"], r["score"], r["rank"]) for r in catalogue.queries()["ref_j18_sparse_terms"](spark, str(tmp_path)).collect()}
     assert got == want and {d for q, d, _, _ in want if q == 0} == {1, 2, 4, 100}
+
+
+def test_grep_finds_messages_by_subject_alone(spark, tmp_path):
+    """The first 500 by id of all matches: a subject counts where the body has no match, is null or empty."""
+    rows = [(1, "No\nthe PERMIT is here", "x"), (2, None, "Permit 4"), (3, "", "your permit"), (4, "nothing", "permits"), (5, "nothing", None), (6, "permit", "permit"), (7, None, None)]
+    rows += [(i, "a permit", None) for i in range(100, 700)]
+    spark.createDataFrame(rows, "email_id bigint, body string, subject string").write.parquet(f"{tmp_path}/thread_emails.parquet")
+    df = catalogue.queries()["ref_l5_grep_messages"](spark, str(tmp_path))
+    got = {r["email_id"]: r["lines"] for r in df.collect()}
+    assert len(got) == 500 and max(got) == 594
+    assert {k: v for k, v in got.items() if k < 100} == {1: ["the PERMIT is here"], 2: ["Permit 4"], 3: ["your permit"], 4: ["permits"], 6: ["permit"]}
+    duck = duckdb.connect()
+    duck.execute(f"create view thread_emails as select * from '{tmp_path}/thread_emails.parquet/*.parquet'")
+    assert dict(duck.execute(catalogue.oracle_sql()["ref_l5_grep_messages"]).fetchall()) == got

@@ -681,6 +681,17 @@ def ref_l5_grep(s, sf):
     return grep(table(s, sf, "thread_emails").where(F.contains(F.lower("body"), F.lit("permit"))), "permit")
 
 
+@query(
+    "SELECT email_id, CASE WHEN len(lines) > 0 THEN lines ELSE [subject] END AS lines FROM (SELECT email_id, subject, list_transform(list_filter(string_split(coalesce(body, ''), chr(10)), lambda l: contains(lower(l), 'permit'))[1:20], lambda l: trim(substr(l, greatest(1, instr(lower(l), 'permit') - 97), 200))) AS lines "
+    "FROM thread_emails WHERE contains(lower(coalesce(body, '')), 'permit') OR contains(lower(coalesce(subject, '')), 'permit')) ORDER BY email_id LIMIT 500"
+)
+def ref_l5_grep_messages(s, sf):
+    """Grep over all messages, also those that match by subject alone; ``ref_l5_grep`` has only the bodies that its SQL names."""
+    from threadloom.plans.pipeline import grep
+
+    return grep(table(s, sf, "thread_emails"), "permit")
+
+
 @query("SELECT source_name, subject, n FROM (SELECT source_name, subject, n, row_number() OVER (PARTITION BY source_name ORDER BY n DESC, subject) AS k FROM (SELECT source_name, subject, count(*) AS n FROM thread_emails WHERE subject IS NOT NULL GROUP BY ALL)) WHERE k <= 10")
 def ref_a22_frequent_subjects(s, sf):
     c = table(s, sf, "thread_emails").where("subject is not null").groupBy("source_name", "subject").agg(F.count("*").alias("n"))
