@@ -40,3 +40,15 @@ def test_operator(spark):
     assert set(got) == {(1, "subject"), (2, "body"), (4, "subject")}
     assert got[1, "subject"] == ("café", False) and got[2, "body"] == ("caf�", True)
     assert repair_fields(df.limit(0), "email_id", ["subject"]).count() == 0
+
+
+def test_every_repaired_single_character_is_suspicious(spark):
+    from threadloom.llm.encodings import SINGLE_BYTE, _table, suspicious
+
+    read = sorted({c for _, enc in SINGLE_BYTE for c in _table(enc)[0x80:]})
+    beside = ["", " ", "a", "Z", "é", "É", "º", "ﬁ", "5", "²", "."]
+    texts = [b + g + a for g in read for b in beside for a in beside]
+    assert repair("caf" + "é".encode("cp1252").decode("cp437"))[0] == "café"
+    wanted = [t for t in texts + ["caf" + "é".encode("cp1252").decode("cp437")] if repair(t)[1]]
+    df = spark.createDataFrame([(t,) for t in wanted], "t string")
+    assert [r["t"] for r in df.where(~suspicious(df["t"])).collect()] == []

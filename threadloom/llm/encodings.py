@@ -191,9 +191,10 @@ def suspicion() -> str:
     for _, enc in DOUBLE_BYTE:
         t = _table(enc)
         parts.append(f"(?:[{escape(t[0xB0:0xC9])}][{escape(t[0xA1:0xFF])}]){{2}}")
-    upper = escape(c for c in map(chr, range(0xC0, 0x180)) if c.isupper())
+    # the single-byte pairs as _single_is_garbled has them: any upper-case letter that one of them reads
+    upper = escape(c for _, read in SINGLE_BYTE for c in _table(read)[0x80:] if c.isalpha() and c.isupper())
     odd = escape(_ODD)
-    parts += ["[\\x{2500}-\\x{259f}]", f"\\p{{Ll}}[{upper}]", f"[A-Za-z][{odd}][A-Za-z]", "Ç[0-9]", " û ", f"[A-Za-z][{escape(_FOREIGN)}]"]
+    parts += ["[\\x{2500}-\\x{259f}]", f"[\\p{{Ll}}ªº][{upper}]", f"[A-Za-z][{odd}][A-Za-z]", "Ç\\p{N}", " û ", f"[A-Za-z][{escape(_FOREIGN)}]"]
     return r"(?=[^\x00-\x7f]| û|[A-Za-zß-ž][^\x00-\x7f])(?:" + "|".join(dict.fromkeys(parts)) + ")"
 
 
