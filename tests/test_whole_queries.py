@@ -37,3 +37,10 @@ def test_grep_finds_messages_by_subject_alone(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"create view thread_emails as select * from '{tmp_path}/thread_emails.parquet/*.parquet'")
     assert dict(duck.execute(catalogue.oracle_sql()["ref_l5_grep_messages"]).fetchall()) == got
+
+
+def test_domain_of_empty_subjects_fills_all_characters(spark, tmp_path):
+    rows = [(i, "a@x.example", None if i % 2 else "") for i in range(300)]
+    spark.createDataFrame(rows, "email_id bigint, sender string, subject string").write.parquet(f"{tmp_path}/thread_emails.parquet")
+    joined = catalogue.queries()["ref_a19_domain_regroup"](spark, str(tmp_path)).first()["joined"]
+    assert joined == (" | " * 299)[:800]
