@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 _SPAN = 1 << 40
 
 
-def hashed_below(df: DataFrame, key: str, sample: int) -> DataFrame:
-    """Rows whose key's hash lies below the share that ``sample`` is of all rows: about ``sample`` rows, all of a small table."""
-    n = df.count()
+def hashed_below(df: DataFrame, key: str, sample: int, n: int | None = None) -> DataFrame:
+    """Rows whose key's hash lies below the share that ``sample`` is of all ``n`` rows: about ``sample`` rows, all of a small table."""
+    n = df.count() if n is None else n
     if n <= sample:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(_SPAN)) < int(_SPAN * sample / n))
