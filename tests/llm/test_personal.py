@@ -84,3 +84,12 @@ def test_run_of_which_one_word_is_known():
     lex = build_lexicon(["Ines Marrby <i@x>", "피도현 <p@x>", "김서윤 <k@x>"], ["I met Ines Wrzoldan and Xaver Marrby.", "Ines Rechnung", "Die Rechnung, die Rechnung."])
     text = "Then Ines Wrzoldan; Xaver Marrby; Ines Rechnung; Wrzoldan and 김도현님."
     assert [text[a:b] for a, b, _ in name_candidates(text, lex)] == ["Ines Wrzoldan", "Xaver Marrby", "Ines", "Wrzoldan", "김도현"]
+
+
+def test_names_that_no_header_holds(mails):
+    """Where their surroundings show them, names of which no list knows a word are found; plain capitalised runs are not."""
+    texts = ["From: Priya Raghunathan <p@x.example>\nSent: today\nTo: Zebulon Quistgaard", "On 3 May 2024 at 10:00, Wei Zhang wrote:\n> hi", "best regards,\nDmitri Volkov\n", "Close Harbor Gate and the Annual Report.\nFalls Gerüst da ist. 221B Baker Street, London NW1 6XE"]
+    rows = [(-500 - i, t, None, None, None) for i, t in enumerate(texts)]
+    got = find_personal(mails.unionByName(mails.sparkSession.createDataFrame(rows, mails.schema))).where("email_id <= -500").collect()
+    assert {(r["email_id"], r["pii_text"]) for r in got if r["pii_type"] == "name"} == {(-500, "Priya Raghunathan"), (-500, "Zebulon Quistgaard"), (-501, "Wei Zhang"), (-502, "Dmitri Volkov")}
+    assert {(r["email_id"], r["pii_text"]) for r in got if r["pii_type"] == "street"} == {(-503, "221B Baker Street, London NW1 6XE")}

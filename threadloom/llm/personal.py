@@ -8,7 +8,9 @@ mail address, that over numbers, numbers over names, and longer over shorter.
 
 The lexicon of name parts is counted over the headers and bodies of all e-mails.  A capitalised word that no header
 has is a name part too where it directly follows a known first name, or leads a known family name, in at least half of
-its occurrences in all bodies; so a run needs one known word.  The trees are fitted on at most ``sample`` e-mails
+its occurrences in all bodies.  A run of capitalised words of which none is known is proposed as well: a model of its own, which
+sees no list but the words around it, the line and the run's shape, is taught by the runs that the lexicon does explain, with their
+entries hidden; its threshold is the lowest at which ``UNLISTED_PRECISION`` of held-out runs it accepts are names.  The trees are fitted on at most ``sample`` e-mails
 (default 6,000, those with the smallest hash of the id).  The annotation they learn from comes from cues beside a
 candidate ("call", "identity number", "part no.") and from header structure.
 Wrongly decoded text is repaired first and spans are mapped back, so ``pii_text`` is as stored.
@@ -42,13 +44,18 @@ _WORDS = rf"[{_UP}](?:{_W}|[’'-](?={_W}))*"
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'=$-"
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _DIGITS = re.compile(r"\d+")
+#: Seven digits or more, at most four other characters of a line between two of them.
+_CLUSTER = re.compile(r"\d(?:[^\n\d]{0,4}\d){6,}")
+_RUN = re.compile(rf"(?<![\w@.’'-])[{_UP}]{_W}+(?:[’'-]{_W}+)*(?: (?:(?:de|da|do|dos|van|von|der) )?[{_UP}]{_W}+(?:[’'-]{_W}+)*){{1,3}}(?![\w@]|[-’']\w)")
+#: Share of names that runs of unknown words must have where the model accepts them.
+UNLISTED_PRECISION = 0.995
 _SPELLED = re.compile(
     r"[A-Za-z0-9_][A-Za-z0-9._%+-]* ?[\[({](?:at|AT|@|arroba|ät)[\])}] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({](?:dot|DOT|punkt|point|punto|ponto)[\])}] ?)[A-Za-z0-9-]+)+"
     r"|[A-Za-z0-9_][A-Za-z0-9._%+-]* (?:at|AT) [A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+|[A-Za-z0-9_][A-Za-z0-9._%+-]*＠[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 )
 _NUMBER = re.compile(r"(?<![\w.@=&/-])(?:(?!ID\b)[A-Z]{1,2} ?)?(?:\+ ?|\()?\d[\dA-Z]*(?:[ ./-]{1,2}\(?[\dA-Z]*\d[\dA-Z]*\)?|\)[ ./-]?\d+|[ ./-]?\(\d+\)[ ./-]?\d*){0,7}(?:[ -][A-Z])?(?![\w@]|\.\d)")
 _STREET = re.compile(
-    rf"(?:(?:Unit|Apt|Flat|Suite|Apartment) \w{{1,4}}, )?\b\d{{1,5}} (?:[NSEW] )?(?:{_WORDS} ){{1,3}}(?:Street|St|Lane|Ln|Road|Rd|Avenue|Ave|Crescent|Cres|Drive|Dr|Court|Ct|Way|Close|Place|Pl|Square|Sq|Terrace|Row|Boulevard|Blvd)\b\.?(?:, (?:Apt|Unit|Flat|Suite) \w{{1,4}})?(?:, {_WORDS}(?: {_WORDS}(?!\w)){{0,2}}(?: [A-Z]{{1,2}}\d{{1,5}}(?: \d[A-Z]{{2}})?| [A-Z]{{2}} \d{{5}}| \d{{5}})?)?"
+    rf"(?:(?:Unit|Apt|Flat|Suite|Apartment) \w{{1,4}}, )?\b\d{{1,5}}[A-Z]? (?:[NSEW] )?(?:{_WORDS} ){{1,3}}(?:Street|St|Lane|Ln|Road|Rd|Avenue|Ave|Crescent|Cres|Drive|Dr|Court|Ct|Way|Close|Place|Pl|Square|Sq|Terrace|Row|Boulevard|Blvd)\b\.?(?:, (?:Apt|Unit|Flat|Suite) \w{{1,4}})?(?:, {_WORDS}(?: {_WORDS}(?!\w)){{0,2}}(?: [A-Z]{{1,2}}\d{{1,5}}(?: \d[A-Z]{{2}})?| [A-Z]{{2}} \d{{5}}| \d{{5}})?)?"
     rf"|\b\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|quai|boulevard|place|chemin|impasse|allée|route|cours)(?: (?:de la|de|des|du|d))?[ ’'](?:l[’'])?(?:{_WORDS}[ -]?){{1,3}}, \d{{5}} {_WORDS}(?:[ -](?:(?:sur|sous|lès|en|de|du|la)[ -])?{_WORDS}){{0,2}}"
     rf"|\b(?:(?:Am|An der|An den|Auf dem|Auf der|Im|In der|Zum|Zur|Beim|Hinter der|Hinter dem|Unter den) {_WORDS}|{_WORDS}(?:weg|straße|strasse|str\.|gasse|allee|platz|ring|damm|ufer|steig|kai|graben)|{_WORDS} (?:Weg|Straße|Str\.|Gasse|Allee|Platz|Ring|Damm|Ufer)) \d{{1,4}}[a-z]?, \d{{5}} {_WORDS}(?:[ -]{_WORDS}){{0,2}}"
     rf"|\b(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino|Ronda|Rua|R\.|Av\.|Travessa|Largo|Praça|Alameda|Estrada|Via)(?: (?:de la|de los|de las|del|de|da|do|das|dos))? ?(?:{_WORDS} ?(?:(?:de la|del|de|da|do|das|dos) )?){{1,4}},? ?\d{{1,5}}(?:, (?:\d{{1,2}}[ºª°]? ?[A-Za-z]?|apto\.? \w+))?, \d{{5}}(?:-\d{{3}})? {_WORDS}(?: (?:(?:de la|del|de|da|do|das|dos) )?{_WORDS}){{0,3}}"
@@ -172,8 +179,24 @@ def _body_counts(bodies: Iterable[str], lex: Lexicon) -> Counter:
 
 
 def _occurrences(bodies: Iterable[str], words: frozenset[str]) -> Counter:
-    """How often each of ``words`` stands in the bodies, in whatever case; keys are in lower case."""
-    return Counter(w for b in bodies for m in _WHOLE.finditer(b) if (w := m[0].lower()) in words)
+    """How often each of ``words`` stands in the bodies as a whole word, in whatever case; keys are in lower case."""
+    import ahocorasick
+
+    sought = ahocorasick.Automaton()
+    for w in (*words, "\0"):
+        sought.add_word(w, w)
+    sought.make_automaton()
+    out: Counter = Counter()
+    for b in bodies:
+        low = b.lower()
+        for end, w in sought.iter(low):
+            a = end + 1 - len(w)
+            before = low[a - 1 : a] if a else ""
+            if before and (before.isalnum() or before == "_" or (before in "’'-" and low[a - 2 : a - 1].isalpha())):
+                continue
+            if (m := _WHOLE.match(low, a)) and m.end() == end + 1:
+                out[w] += 1
+    return out
 
 
 def _rates(lex: Lexicon, plain: dict[str, float], after: dict[str, float], beside: Iterable[tuple[str, str, int, int]], total: dict[str, int]) -> Lexicon:
@@ -263,24 +286,16 @@ def _sign(c: str) -> int:
 
 def _number_spans(text: str) -> Iterator[re.Match]:
     """Matches near clusters of digit runs that together have seven digits or more."""
-    runs = [m.span() for m in _DIGITS.finditer(text)]
-    done, i, n = 0, 0, len(runs)
-    while i < n:
-        start, end = runs[i]
-        digits = end - start
-        while i + 1 < n and runs[i + 1][0] - end <= 4 and "\n" not in text[end : runs[i + 1][0]]:
-            i += 1
-            digits += runs[i][1] - runs[i][0]
-            end = runs[i][1]
-        i += 1
-        if digits >= 7:
-            stop = text.find("\n", end)
-            limit = min(len(text) if stop < 0 else stop, end + 40)
-            for m in _NUMBER.finditer(text, max(done, start - 4), limit):
-                if m.start() >= end:
-                    break
-                done = m.end()
-                yield m
+    done = 0
+    for cluster in _CLUSTER.finditer(text):
+        start, end = cluster.span()
+        stop = text.find("\n", end)
+        limit = min(len(text) if stop < 0 else stop, end + 40)
+        for m in _NUMBER.finditer(text, max(done, start - 4), limit):
+            if m.start() >= end:
+                break
+            done = m.end()
+            yield m
 
 
 @lru_cache(maxsize=1 << 15)
@@ -384,7 +399,7 @@ def street_candidates(text: str) -> list[tuple[int, int, tuple]]:
             continue
         before, after = text[a - 1 : a], text[b : b + 1]
         postcode = (b - a == 5 and before not in ("-", ".") and not before.isalnum() and not after.isalnum()) or (b - a == 3 and text[a - 2 : a].isupper() and not after.isalnum())
-        if postcode or after == "호" or (after == " " and before not in ("-", ".") and _HOUSE.match(text, b)):
+        if postcode or after == "호" or (before not in ("-", ".") and (after == " " and _HOUSE.match(text, b) or "A" <= after <= "Z" and _HOUSE.match(text, b + 1))):
             start = text.rfind("\n", 0, a) + 1
             done = text.find("\n", b)
             done = len(text) if done < 0 else done
@@ -397,7 +412,7 @@ def _streets_of_line(text: str, start: int, end: int, out: list) -> None:
         a, b = m.span()
         s = m[0]
         line_start = start
-        code = bool(re.search(r"\b\d{5}\b|\b[A-Z]{2}\d{3}\b|\d호", s))
+        code = bool(re.search(r"\b\d{5}\b|\b[A-Z]{2}\d{3}\b|\b[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}\b|\d호", s))
         f = (code, s.count(","), min(len(s) // 4, 31), not text[line_start:a].strip(" >|\t"), text[b : b + 1] in ("", "\n", "\r"), min(sum(map(str.isdigit, s)), 31), s[0].isdigit(), *_edges(text, a, b))
         out.append((a, b, f))
 
@@ -547,6 +562,75 @@ def _mapping(text: str) -> tuple[str, list[tuple[int, int]] | None]:
     return text, where
 
 
+def unlisted_runs(text: str, lex: Lexicon, known: bool = False) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs of capitalised words of which the lexicon has none; with ``known`` those that it explains as a first and a family name."""
+    first, last = lex.first, lex.last
+    for m in _RUN.finditer(text):
+        words = [w for w in m[0].split(" ") if w[0].isupper()]
+        if known:
+            if len(words) < 4 and first.get(words[0], 0) >= 2 and last.get(words[-1], 0) >= 2:
+                yield *m.span(), words
+        elif not any(w in first or w in last for w in words):
+            yield *m.span(), words
+
+
+@dataclass
+class Surroundings:
+    """What the sample shows of runs: shares of names by the word before and after, and words that also stand in lower case."""
+
+    before: dict[str, int] = field(default_factory=dict)
+    after: dict[str, int] = field(default_factory=dict)
+    lower: frozenset[str] = frozenset()
+    model: Boosted | None = None
+
+
+def _beside_run(text: str, a: int, b: int) -> tuple[str, str]:
+    """Word or sign before and after a run; a line's edge is a line feed, an end of a sentence a full stop."""
+    cut = text.rfind("\n", max(0, a - 24), a)
+    left = text[cut + 1 if cut >= 0 else max(0, a - 24) : a].strip(" >|*\t\r")
+    p = _DIGITS.sub("0", left.rsplit(None, 1)[-1].lower()) if left else "\n"
+    right = text[b : b + 24].split("\n", 1)[0].lstrip(" *\t\r")
+    m = _LETTERS.match(right)
+    return "." if p[-1] in ".!?" and p != "." and len(p) > 2 else p, (m[0].lower() if m else right[:1] or "\n")
+
+
+def _run_features(text: str, a: int, b: int, words: list[str], seen: Surroundings) -> tuple:
+    p, r = _beside_run(text, a, b)
+    return (
+        seen.before.get(p, 0), seen.after.get(r, 0), len(words), sum(w.isupper() for w in words), sum(w.lower() in seen.lower for w in words),
+        words[0].lower() in seen.lower, b - a - sum(map(len, words)) - len(words) + 1 > 0, *_edges(text, a, b), p == "\n", r == "\n",
+        _sign(text[max(0, a - 24) : a].rstrip(" >|*\t\r\n")[-1:]) if p == "\n" else 0,
+    )
+
+
+def _shares(pairs: Iterable[tuple[str, int]], least: int = 5) -> dict[str, int]:
+    """Step 1 to 10 by the share of names beside each word seen ``least`` times or more."""
+    n: Counter = Counter()
+    names: Counter = Counter()
+    for w, y in pairs:
+        n[w] += 1
+        names[w] += y
+    return {w: 1 + round(9 * names[w] / c) for w, c in n.items() if c >= least}
+
+
+def fit_unlisted(bodies: list[str], lex: Lexicon, precision: float = UNLISTED_PRECISION) -> Surroundings:
+    """A model of names without a lexicon, taught by the runs of the bodies that the lexicon explains against those of which it knows no word."""
+    runs = [(i % 5 == 0, t, a, b, w, y) for i, t in enumerate(bodies) for y in (0, 1) for a, b, w in unlisted_runs(t, lex, bool(y))]
+    lower: Counter = Counter(w for t in bodies for w in set(_LOWER.findall(t)))
+    taught = [(_beside_run(t, a, b), y) for held, t, a, b, _, y in runs if not held]
+    seen = Surroundings(_shares((p, y) for (p, _), y in taught), _shares((r, y) for (_, r), y in taught), frozenset(w for w, c in lower.items() if c > 1))
+    if not any(y for *_, y in runs):
+        return seen
+    x = np.clip(np.array([_run_features(t, a, b, w, seen) for _, t, a, b, w, _ in runs], np.int64), 0, 31)
+    y, held = np.array([r[5] for r in runs], float), np.array([r[0] for r in runs])
+    model = Boosted().fit(x[~held], y[~held])
+    p = model.score(x[held])
+    good = [c for c in np.linspace(0.5, 0.995, 100) if (p >= c).sum() >= 20 and y[held][p >= c].mean() >= precision]
+    model.threshold = float(good[0]) if good else 2.0
+    seen.model = model
+    return seen
+
+
 def candidates(text: str, lex: Lexicon, own: frozenset[str]) -> dict[str, list[tuple[int, int, tuple]]]:
     return {"number": number_candidates(text), "email": mail_candidates(text), "street": street_candidates(text), "name": name_candidates(text, lex, own)}
 
@@ -554,20 +638,32 @@ def candidates(text: str, lex: Lexicon, own: frozenset[str]) -> dict[str, list[t
 class Finder:
     """Generators, trees and selection."""
 
-    def __init__(self, lex: Lexicon, models: dict[str, Boosted]):
-        self.lex, self.models = lex, models
-        self.memo: dict[str, dict[tuple, bool]] = {k: {} for k in models}
+    #: Header texts whose spans are held; most stand in several e-mails.
+    HELD = 50_000
+
+    def __init__(self, lex: Lexicon, models: dict[str, Boosted], seen: Surroundings | None = None):
+        self.lex, self.models, self.seen = lex, models, seen or Surroundings()
+        self.memo: dict[str, dict[tuple, bool]] = {k: {} for k in (*models, "unlisted")}
+        self.headers: dict[str, list[tuple[int, int, str]]] = {}
 
     def _accept(self, kind: str, wanted: list[tuple]) -> dict[tuple, bool]:
         """Decision for each feature tuple; every different tuple is scored once."""
         memo = self.memo[kind]
-        new = list({f for f in wanted if f not in memo})
+        new = [f for f in set(wanted) if f not in memo]
         if new:
-            m = self.models[kind]
+            m = self.seen.model if kind == "unlisted" else self.models[kind]
             x = np.clip(np.array(new, np.int64), 0, 31)
             memo.update(zip(new, (m.score(x) >= m.threshold).tolist()))
         return memo
 
+    def find_headers(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """Selected spans of each header, whose own names are those it states itself."""
+        if len(self.headers) > self.HELD:
+            self.headers.clear()
+        new = [t for t in dict.fromkeys(texts) if t not in self.headers]
+        self.headers.update(zip(new, self.find(new, [_own(t) for t in new])))
+        return [self.headers[t] for t in texts]
+
     def find(self, texts: list[str], owners: list[frozenset[str]]) -> list[list[tuple[int, int, str]]]:
         """Selected (start, end, type) of each text."""
         read, maps = [], []
@@ -576,25 +672,29 @@ class Finder:
             read.append(fixed)
             maps.append(where)
         found = [candidates(t, self.lex, o) for t, o in zip(read, owners)]
-        ok = {kind: self._accept(kind, [f for c in found for _, _, f in c["number" if kind in ("phone", "id_number") else kind]]) for kind in TYPES}
+        wanted = {k: [f for c in found for _, _, f in c[k]] for k in ("street", "email", "number", "name")}
+        street, email, name = (self._accept(k, wanted[k]) for k in ("street", "email", "name"))
+        phone, ident = (self._accept(k, wanted["number"]) for k in ("phone", "id_number"))
+        runs = [[(a, b, _run_features(t, a, b, w, self.seen)) for a, b, w in unlisted_runs(t, self.lex)] if self.seen.model else [] for t in read]
+        unlisted = self._accept("unlisted", [f for r in runs for _, _, f in r])
         out = []
-        for c, where in zip(found, maps):
-            spans = [(a, b, "street") for a, b, f in c["street"] if ok["street"][f]]
-            spans += [(a, b, "email") for a, b, f in c["email"] if ok["email"][f]]
-            for a, b, f in c["number"]:
-                if ok["phone"][f] or ok["id_number"][f]:
-                    spans.append((a, b, "id_number" if ok["id_number"][f] else "phone"))
-            spans += [(a, b, "name") for a, b, f in c["name"] if ok["name"][f]]
-            rank = {t: i for i, t in enumerate(TYPES)}
-            rank["id_number"] = rank["phone"]
-            spans.sort(key=lambda s: (rank[s[2]], s[0] - s[1]))
+        for c, r, where in zip(found, runs, maps):
+            spans = [(0, a - b, a, b, "street") for a, b, f in c["street"] if street[f]]
+            spans += [(1, a - b, a, b, "email") for a, b, f in c["email"] if email[f]]
+            spans += [(2, a - b, a, b, "id_number" if ident[f] else "phone") for a, b, f in c["number"] if ident[f] or phone[f]]
+            spans += [(3, a - b, a, b, "name") for a, b, f in c["name"] if name[f]]
+            spans += [(4, a - b, a, b, "name") for a, b, f in r if unlisted[f]]
+            spans.sort(key=lambda s: s[:2])
+            starts: list[int] = []
             kept: list[tuple[int, int, str]] = []
-            for s in spans:
-                if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
-                    kept.append(s)
+            for _, _, a, b, t in spans:  # kept spans are disjoint and in order
+                i = bisect_left(starts, b)
+                if not i or kept[i - 1][1] <= a:
+                    starts.insert(i, a)
+                    kept.insert(i, (a, b, t))
             if where is not None:
-                kept = [(where[a][0], where[b - 1][1], t) for a, b, t in kept]
-            out.append(sorted(kept))
+                kept = sorted((where[a][0], where[b - 1][1], t) for a, b, t in kept)
+            out.append(kept)
         return out
 
 
@@ -606,8 +706,7 @@ def fit(rows: list[tuple[str, str, str, str]], lex: Lexicon, seed: int = 3) -> F
     """``rows``: (body, to, cc, sender) of the sample."""
     data: dict[str, list[tuple[tuple, int]]] = {t: [] for t in TYPES}
     for body, to, cc, sender in rows:
-        own = _own(to, cc, sender)
-        for text in (body, to, cc):
+        for text, own in ((body, _own(to, cc, sender)), (to, _own(to)), (cc, _own(cc))):
             if not text:
                 continue
             c = candidates(text, lex, own)
@@ -627,7 +726,7 @@ def fit(rows: list[tuple[str, str, str, str]], lex: Lexicon, seed: int = 3) -> F
         y = np.array([v for _, v in pairs], float)
         held = rng.random(len(y)) < 0.2
         models[t] = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
-    return Finder(lex, models)
+    return Finder(lex, models, fit_unlisted([r[0] for r in rows if r[0]], lex))
 
 
 def fitted(emails: DataFrame, key: str, body: str, to: str, cc: str, sender: str, sample: int = 6000) -> Finder:
@@ -639,10 +738,10 @@ def fitted(emails: DataFrame, key: str, body: str, to: str, cc: str, sender: str
 def _batches(finder: Finder, b: pd.DataFrame, fields: list[str]):
     owners = [_own(t, c, s) for t, c, s in zip(b["_to"], b["_cc"], b["_sender"])]
     for name in fields:
-        col = b[f"_{name}"]
+        col = b[f"_{name}"].tolist()
         pick = [i for i, t in enumerate(col) if t]
-        texts = [col.iat[i] for i in pick]
-        yield name, pick, texts, finder.find(texts, [owners[i] for i in pick])
+        texts = [col[i] for i in pick]
+        yield name, pick, texts, finder.find(texts, [owners[i] for i in pick]) if name == "body" else finder.find_headers(texts)
 
 
 def _input(emails: DataFrame, key: str, body: str, to: str, cc: str, sender: str) -> DataFrame:
@@ -652,11 +751,11 @@ def _input(emails: DataFrame, key: str, body: str, to: str, cc: str, sender: str
 def find_personal(emails: DataFrame, key: str = "email_id", body: str = "body", to: str = "to_text", cc: str = "cc_text", sender: str = "sender", sample: int = 6000) -> DataFrame:
     """(key, field_name, pii_type, pii_text): one row per different text of a type in a field."""
     finder = fitted(emails, key, body, to, cc, sender, sample)
-    lex, models = finder.lex, finder.models
+    lex, models, seen = finder.lex, finder.models, finder.seen
     named = {"body": body, "to": to, "cc": cc}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Finder(lex, models)
+        f = Finder(lex, models, seen)
         for b in batches:
             keys = b["_key"].tolist()
             out = []
@@ -671,10 +770,10 @@ def find_personal(emails: DataFrame, key: str = "email_id", body: str = "body",
 def redact_personal(emails: DataFrame, key: str = "email_id", body: str = "body", to: str = "to_text", cc: str = "cc_text", sender: str = "sender", sample: int = 6000) -> DataFrame:
     """(key, body, to, cc) with every span replaced by [NAME], [EMAIL], [PHONE], [ID_NUMBER] or [STREET]; nulls stay null."""
     finder = fitted(emails, key, body, to, cc, sender, sample)
-    lex, models = finder.lex, finder.models
+    lex, models, seen = finder.lex, finder.models, finder.seen
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Finder(lex, models)
+        f = Finder(lex, models, seen)
         for b in batches:
             res = {n: b[f"_{n}"].tolist() for n in ("body", "to", "cc")}
             for name, pick, texts, spans in _batches(f, b, ["body", "to", "cc"]):
