@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.conversations import assemble, conversation_turns
 from threadloom.llm.email_lines import label_lines, new_text
 from threadloom.llm.encodings import repair_fields
-from threadloom.llm.mixing import mixture, shares
+from threadloom.llm.mixing import budget_tree, mixture, shares
 from threadloom.llm.packing import pack
 from threadloom.llm.personal import find_personal, redact_personal
 from threadloom.llm.splitting import profiles_in_force, split_oversized
@@ -125,6 +125,17 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(mixture(_sized(spark, sf), targets), targets)
 
 
+def p9_full_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves of every plan's tree where all tokens of its sources are asked for once: what each falls short of, and its budget once that is redistributed."""
+    return budget_tree(_sized(spark, sf), table(spark, sf, "mix_targets"), total="all")
+
+
+def p9_full_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares reached by mixtures as large as all tokens of their sources: scarce sources fall short."""
+    targets = table(spark, sf, "mix_targets")
+    return shares(mixture(_sized(spark, sf), targets, total="all"), targets)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return cut_documents(_documents(spark, sf)).where("is_cut").select("doc_id")
 
@@ -143,6 +154,7 @@ def queries() -> dict:
         "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_restored": p7_restored,
         "p6_found": p6_found, "p6_redacted": p6_redacted,
         "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+        "p9_full_budgets": p9_full_budgets, "p9_full_shares": p9_full_shares,
         "p10_found": p10_found, "p10_rates": p10_rates,
     }
 
