@@ -1,9 +1,10 @@
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from threadloom.functions.instants import InstantParser
-from threadloom.llm.conversations import assemble, conversation_turns
+from threadloom.llm.conversations import assemble, assemble_batch, conversation_threads, conversation_turns, fragments
 from threadloom.operators.ranking import grouped_row_number
 
 SCHEMA = "email_id bigint, account_id int, thread_id string, message_id string, in_reply_to string, sender string, body string, utc_micros bigint"
@@ -42,8 +43,13 @@ def brute(rows, own):
 
 
 def turns(spark, rows, own=OWN):
-    got = conversation_turns(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(own, "account_id int, address string"))
-    return {tuple(r) for r in got.collect()}
+    """The turns; in one exchange, with all threads as huge ones, and with some as such the same."""
+    emails, addresses = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(own, "account_id int, address string")
+    got = [conversation_turns(emails, addresses, hot).collect() for hot in (100_000, 0, 5)]
+    assert len({frozenset(map(tuple, g)) for g in got}) == 1 and len({len(g) for g in got}) == 1
+    threads = [frozenset(map(tuple, conversation_threads(emails, addresses, hot).collect())) for hot in (100_000, 0)]
+    assert threads[0] == threads[1]
+    return {tuple(r) for r in got[0]}
 
 
 def test_cases(spark):
@@ -68,7 +74,7 @@ def test_empty(spark):
 def test_long_chain_merges_into_one_path(spark):
     rows = [(i, 1, "m0", f"m{i}", f"m{i - 1}" if i else None, "me@x.test" if i % 2 else "you@y", "x", 100 - i) for i in range(40)]
     rows += [(100, 1, "m0", "branch", "m5", "you@y", "x", 1)]
-    messages, threads = assemble(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(OWN, "account_id int, address string"))
+    messages, threads = assemble(fragments(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(OWN, "account_id int, address string")))
     by = {r["email_id"]: (r["path_head"], r["path_pos"]) for r in messages.collect()}
     assert by[39][1] == 33 and by[5][1] == 5 and len({by[i][0] for i in range(6, 40)} - {by[6][0]}) <= 1
     assert threads.collect()[0]["n_gaps"] == 0
@@ -90,3 +96,21 @@ def test_project_table(spark, sf):
     rows = [(e["email_id"], e["account_id"], e["thread_id"], e["message_id"], e["in_reply_to"], e["sender"], e["body"], p.parse(e["date_text"], acc[e["account_id"]]["tz_name"], acc[e["account_id"]]["locale"])) for e in emails]
     own = {(r["account_id"], r["address"]) for r in spark.read.parquet(f"{sf}/account_addresses.parquet").collect()}
     assert {tuple(r) for r in p2_found(spark, sf).collect()} == brute(rows, own)
+
+
+def test_overlapping_runs_merge_by_shared_hashes():
+    """Runs 1-2-3, 2-3-4 (an overlap of two) and 4-5 make one path; the answers 7 and 8 of 5 and the run after a lost 9 stay apart."""
+    rows = [(0, 1, 1, None), (0, 2, 2, 1), (0, 3, 3, 2), (0, 4, 2, 1), (0, 5, 3, 2), (0, 6, 4, 3), (0, 7, 5, 4), (0, 8, 7, 5), (0, 9, 8, 5), (0, 10, 10, 9), (0, 11, 11, 10), (1, 12, 2, 3)]
+    t, email, own, parent = (np.array([r[i] or 0 for r in rows]) for i in range(4))
+    g = assemble_batch(t, email, own, parent, np.array([r[3] is not None for r in rows]))
+    name = {i: (int(g["thread"][i]), int(own[r]) if (r := g["row"][i]) >= 0 else None) for i in range(len(g["row"]))}
+    paths = {}
+    for i, (h, d) in enumerate(zip(g["head"], g["depth"])):
+        paths.setdefault(int(h), {})[int(d)] = name[i]
+    got = sorted([p[k] for k in sorted(p)] for p in paths.values() if None not in {x for _, x in p.values()})
+    lost = sorted([p[k] for k in sorted(p)][1:] for p in paths.values() if None in {x for _, x in p.values()})
+    assert got == [[(0, 1), (0, 2), (0, 3), (0, 4), (0, 5)], [(0, 7)], [(0, 8)]]
+    assert lost == [[(0, 10), (0, 11)], [(1, 2)]]
+    assert g["n_gaps"].tolist() == [1, 1] and g["n_paths"].tolist() == [4, 1]
+    assert {name[int(i)] for i in np.flatnonzero(g["row"] >= 0)} == {(0, k) for k in (1, 2, 3, 4, 5, 7, 8, 10, 11)} | {(1, 2)}
+    assert email[g["row"][[i for i, x in name.items() if x == (0, 2)][0]]] == 2  # the copy with the smallest id

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.conversations import assemble, conversation_turns
+from threadloom.llm.conversations import conversation_threads, conversation_turns
 from threadloom.llm.email_lines import label_lines, new_text
 from threadloom.llm.encodings import repair_fields
 from threadloom.llm.mixing import budget_tree, mixture, shares
@@ -32,9 +32,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_threads(spark: SparkSession, sf: str) -> DataFrame:
-    """Every thread with its number of messages, turns and gaps, and whether it is sound."""
-    _, threads = assemble(_dated_emails(spark, sf), table(spark, sf, "account_addresses"))
-    return threads.select("thread_id", "n_messages", "n_turns", "n_gaps", "rooted", "n_owner", "n_correspondent", "sound")
+    """Every thread with its number of messages, turns, gaps and merged paths, and whether it is sound."""
+    return conversation_threads(_dated_emails(spark, sf), table(spark, sf, "account_addresses"))
 
 
 def _pieces(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
