@@ -3,6 +3,9 @@ import pytest
 
 from threadloom.llm.encodings import garble, repair, repair_fields
 
+#: Correct sentences whose letters one-to-one, double-byte or Cyrillic pairs could explain.
+FOREIGN = ["Vi ses på måndag", "smørrebrød på bordet", "nový", "það", "Lý Thái", "ПРИВЕТ", "Čeština je krásný jazyk, příliš žluťoučký kůň", "Þetta er á íslensku", "Привет, как дела", "Ærlig talt, jeg går", "Rječnik Рјечник"]
+
 TEXTS = ["Précisions sur l’écluse – déjà vu", "Übergabe für Stückliste", "Não conformidade, situação", "“ready” costs €82 at 40°C ± 2", "월요일에 일정 안내"]
 
 
@@ -52,3 +55,12 @@ def test_every_repaired_single_character_is_suspicious(spark):
     wanted = [t for t in texts + ["caf" + "é".encode("cp1252").decode("cp437")] if repair(t)[1]]
     df = spark.createDataFrame([(t,) for t in wanted], "t string")
     assert [r["t"] for r in df.where(~suspicious(df["t"])).collect()] == []
+
+
+def test_correct_text_of_other_languages_is_left_alone(spark):
+    """Beside a corpus that has none of these languages, and with its garbled texts still restored."""
+    emails = spark.read.parquet("/root/testdata/sf0.01/thread_emails.parquet").select("email_id", "subject", "body")
+    garbled = {-100: "für die Übergabe".encode("cp1252").decode("cp850"), -101: garble("한지우 연락처", "euc_kr", "cp1252"), -102: garble("25°C ± 2", "utf-8", "cp1251"), -103: "Précisions".encode("cp1252").decode("mac_roman")}
+    rows = [(-1 - i, t, None) for i, t in enumerate(FOREIGN)] + [(k, t, "") for k, t in garbled.items()]
+    got = {r["email_id"]: r["restored"] for r in repair_fields(emails.unionByName(spark.createDataFrame(rows, emails.schema)), "email_id", ["subject", "body"]).where("email_id < 0").collect()}
+    assert got == {-100: "für die Übergabe", -101: "한지우 연락처", -102: "25°C ± 2", -103: "Précisions"}
