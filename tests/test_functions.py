@@ -74,3 +74,26 @@ def test_measures(spark):
     assert one(spark, E.mcnemar_exact(F.lit(12), F.lit(0))) == pytest.approx(0.0005, abs=1e-4)
     hits = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True), (2, 1, False)], "q int, r int, h boolean")
     assert {x["q"]: x["ap"] for x in E.average_precision(hits, "q", "r", "h").collect()} == {1: pytest.approx((1 + 2 / 3) / 2), 2: 0.0}
+
+
+def test_tracking_parameters(spark):
+    cases = [
+        ("see https://example.com/post?utm_source=news&utm_medium=email", "see https://example.com/post"), ("https://example.com/x?fbclid=abc&gclid=def", "https://example.com/x"),
+        ("https://shop.example.com/order?order_id=ABC123&utm_campaign=spring", "https://shop.example.com/order?order_id=ABC123"), ("https://example.com/x?UTM_Source=news&keep=1", "https://example.com/x?keep=1"),
+        ("Go to https://example.com/x?utm_id=9.", "Go to https://example.com/x."), ("https://example.com/a/b/c", "https://example.com/a/b/c"), ("no links here at all", "no links here at all"),
+        ("https://billing.example.com/invoice?ref=INV-2024-001", "https://billing.example.com/invoice?ref=INV-2024-001"), ("https://example.com/x?ref_src=twsrc&utm_id=9&keep=1", "https://example.com/x?keep=1"),
+        ("https://e.example/?ref_src=tw&twclid=1&spm=2", "https://e.example/"), ("https://e.example/?q=a%20b", "https://e.example/?q=a+b"), ("http://[foo?utm_source=b", "http://[foo?utm_source=b"), (None, None), ("", ""),
+    ]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert df.where(~X.strip_tracking(F.col("t")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_measured_transcriptions(spark):
+    rows = [("  Hi hi a 42٣ x1y\n", (17 - 2, 2, 1, 4)), ("DESCRIPTION: a red box\nTEXT:  Sale now", (8, 2, 2, 0)), (None, (0, 0, 0, 0)), ("한국 é", (4, 0, 0, 0))]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
+    assert [tuple(r["m"]) for r in df.select(X.measure(F.col("t")).alias("m")).collect()] == [w for _, w in rows]
+
+
+def test_long_runs_of_blanks_are_trimmed_in_linear_time(spark):
+    t = "a" + " " * 300_000 + "b \t\n  c  \n"
+    assert spark.createDataFrame([(t,)], "t string").select(X.normalize_whitespace(F.col("t"))).first()[0] == "a b\n c"

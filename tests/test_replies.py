@@ -35,12 +35,27 @@ def test_replies(spark):
     assert one(spark, R.grade(F.lit("Grade: 9"))) == 3 and one(spark, R.grade(F.lit("none"))) == 0
     assert one(spark, R.valid(F.lit('ok {"valid": true}'))) and not one(spark, R.valid(F.lit("yes")))
     assert one(spark, R.endpoint_source(F.lit("http://localhost:80/v1"))) == "local"
-    assert one(spark, R.folder_role(F.lit("[Gmail]/Sent Mail"), F.lit(None).cast("string"))) == "sent"
-    assert one(spark, R.folder_role(F.lit("x"), F.lit("\\Trash"))) == "trash"
+    for text, want in (("10", 1), ("Grade: 12", 1), ("grade is 2 of 5", 2), ("8", 3), ('{"grade": 0, "n": 3}', 0), (None, 0)):
+        assert one(spark, R.grade(F.lit(text).cast("string"))) == want, text
+    none, no = F.lit(None).cast("array<string>"), F.array().cast("array<string>")
+    for name, flags, own, want in (
+        ("INBOX", none, None, "inbox"), ("Work/Inbox", no, None, "other"), ("[Gmail]/Sent Mail", none, None, "other"), (" Junk E-mail ", no, None, "junk"), ("Posteingang", no, None, "other"),
+        ("x", F.array(F.lit("\\Noselect"), F.lit("\\Trash")), None, "trash"), ("Sent", F.array(F.lit("\\All")), None, "archive"), ("Sent", F.array(F.lit("\\All")), {"sent": "Drafts"}, "drafts"),
+    ):
+        assert one(spark, R.folder_role(F.lit(name), flags, own)) == want, name
+    with pytest.raises(ValueError):
+        R.folder_role(F.lit("x"), no, {"x": "nowhere"})
 
 
 def test_bulk(spark):
-    rows = [([("Precedence", "bulk")], True), ([("Subject", "x")], False), ([("List-Unsubscribe", "<u>"), ("List-Id", "Team <team.corp.example>"), ("Delivered-To", "a@corp.example")], False)]
+    own, group = ("Delivered-To", "<a@corp.example>"), ("List-Id", "Team <team.corp.example>")
+    rows = [
+        ([("Precedence", "bulk")], True), ([("Subject", "x")], False), ([("precedence", " List ")], True), ([("Precedence", "junk")], False), ([], False),
+        ([own, ("Received", "x"), ("Precedence", "list"), group], False), ([("Received", "x"), own, ("Precedence", "list"), group], True),
+        ([own, ("List-Unsubscribe", "<mailto:leave@corp.example>, <https://groups.google.com/x>"), group], False), ([own, ("List-Unsubscribe", "<https://news.example/u>"), group], True),
+        ([own, ("List-Unsubscribe", "see below"), group], True), ([own, ("Precedence", "list"), ("Precedence", "Bulk"), group], True), ([own, ("Precedence", "list"), ("List-Id", "<team.notcorp.example>")], True),
+        ([own, ("Precedence", "normal"), ("Precedence", "list"), ("List-Id", "<x.other.example>")], False), ([("List-Unsubscribe", None)], True),
+    ]
     df = spark.createDataFrame(rows, "headers array<struct<name:string,value:string>>, want boolean")
     assert df.where(R.is_bulk(F.col("headers")) != F.col("want")).count() == 0
 

@@ -21,8 +21,10 @@ def test_small_rules(spark):
     assert one(spark, R.embed_text(F.lit("s"), F.lit("t"))) == "s\n\nt" and one(spark, R.embed_text(F.lit(None).cast("string"), F.lit("t"))) == "t"
     assert one(spark, R.encode_limit(F.lit(512))) == 768 and one(spark, R.encode_limit(F.lit(9000))) == 8192
     assert one(spark, R.combine_query("augment", F.lit("q"), F.lit("d"))) == "q\nd" and one(spark, R.combine_query("pure", F.lit("q"), F.lit(" "))) == "q"
-    with pytest.raises(ValueError):
-        R.combine_query("x", F.lit(1), F.lit(1))
+    assert one(spark, R.combine_query("pure", F.lit("q"), F.lit(" d\n"))) == "d" and one(spark, R.combine_query("x", F.lit("q"), F.lit("d"))) == "q"
+    assert one(spark, R.encode_limit(F.lit(512), False)) == 512 and one(spark, R.encode_limit(F.lit(512), True, 100)) == 100 and one(spark, R.encode_limit(F.lit(1), False, 9999)) == 8192
+    assert one(spark, R.embed_text(F.lit(" s \n"), F.lit("t"))) == "s\n\nt" and one(spark, R.embed_text(F.lit(" "), F.lit("t"))) == "t"
+    assert one(spark, R.sanitized_query(F.lit(" a_b, Ünï-c\n1 "))) == "a b n c 1"
     r = one(spark, R.header_record(F.lit("From: a@b\r\nSubject: Hi\r\n\r\nbody\n\nmore")))
     assert (r["sender"], r["subject"], r["body"]) == ("a@b", "Hi", "body\n\nmore")
 

@@ -47,19 +47,49 @@ def strip_reply_chain(s: pd.Series) -> pd.Series:
     return s.map(without_reply_chain, na_action="ignore")
 
 
+def header_values(headers: Column, name: str) -> Column:
+    """Values of a header, regardless of case, in order; of an array of name-value structs."""
+    return F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), lambda h: F.coalesce(h["value"], F.lit("")))
+
+
 def header_value(headers: Column, name: str) -> Column:
-    """First value of a header of an array of name-value structs; null where it is missing."""
-    return F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
+    """First value of a header; null where it is missing."""
+    return F.get(header_values(headers, name), F.lit(0))
+
+
+#: Hosts whose unsubscribe links a group relay adds itself.
+RELAY_HOSTS = ("googlegroups.com", "groups.google.com")
+
+
+def _under(host: Column, domain: Column) -> Column:
+    """Whether a host is a domain or below it."""
+    bare = lambda c: F.lower(F.btrim(c, F.lit(". ")))
+    h, d = bare(host), bare(domain)
+    return (d != "") & ((h == d) | F.endswith(h, F.concat(F.lit("."), d)))
+
+
+def final_domain(headers: Column) -> Column:
+    """Domain of a Delivered-To above every Received header, which only the server of final delivery writes; '' where there is none."""
+    first = F.get(F.filter(headers, lambda h: F.lower(h["name"]).isin("received", "delivered-to")), F.lit(0))
+    return F.when(F.lower(first["name"]) == "delivered-to", F.regexp_extract(F.coalesce(first["value"], F.lit("")), r"@([^\s<>@,;]+)", 1)).otherwise("")
 
 
 def is_bulk(headers: Column) -> Column:
-    """P5. Bulk or list precedence, or an unsubscribe header, unless a list relays mail of its own domain to the final recipient."""
-    precedence = F.lower(F.coalesce(header_value(headers, "Precedence"), F.lit(""))).isin("bulk", "list", "junk")
-    unsubscribe = header_value(headers, "List-Unsubscribe").isNotNull()
-    listed = F.regexp_extract(F.lower(F.coalesce(header_value(headers, "List-Id"), F.lit(""))), r"([\w-]+\.[\w.-]+)>?\s*$", 1)
-    delivered = F.regexp_extract(F.lower(F.coalesce(header_value(headers, "Delivered-To"), F.lit(""))), r"@([\w.-]+)", 1)
-    relayed = (listed != "") & (delivered != "") & ((listed == delivered) | F.endswith(listed, F.concat(F.lit("."), delivered)))
-    return (precedence | unsubscribe) & ~relayed
+    """P5. Any bulk precedence; else an unsubscribe link or list precedence, unless a list on the mailbox's own domain relays the mail and every unsubscribe link is the relay's own."""
+    precedence = F.transform(header_values(headers, "Precedence"), lambda v: F.lower(F.trim(v)))
+    links = header_values(headers, "List-Unsubscribe")
+    marked = (F.size(links) > 0) | F.coalesce(F.get(precedence, F.lit(0)) == "list", F.lit(False))
+    own = final_domain(headers)
+    listed = F.coalesce(header_value(headers, "List-Id"), F.lit(""))
+    angle = F.regexp_extract(listed, "<([^<>]+)>", 1)
+    relayed = _under(F.when(angle != "", angle).otherwise(listed), own)
+
+    def foreign(link: Column) -> Column:
+        hosts = F.regexp_extract_all(link, F.lit(r"(?:@|://)([A-Za-z0-9.-]+)"), F.lit(1))
+        allowed = lambda h: _under(h, own) | _under(h, F.lit(RELAY_HOSTS[0])) | _under(h, F.lit(RELAY_HOSTS[1]))
+        return (F.size(hosts) == 0) | F.exists(hosts, lambda h: ~allowed(h))
+
+    return F.array_contains(precedence, "bulk") | (marked & (~relayed | F.exists(links, foreign)))
 
 
 def json_reply(c: Column) -> Column:
@@ -75,9 +105,10 @@ def json_reply(c: Column) -> Column:
 
 
 def grade(c: Column) -> Column:
-    """F38. First digit of a grade, 0 to 3; 0 where there is none."""
-    found = F.coalesce(F.nullif(F.regexp_extract(c, r'(?i)"?grade"?\s*[:=]\s*(\d+)', 1), F.lit("")), F.nullif(F.regexp_extract(c, r"\b(\d+)\b", 1), F.lit("")))
-    return F.when(found.isNull(), 0).otherwise(F.least(found.cast("int"), F.lit(3)))
+    """F38. The figure 0 to 3 that follows the word grade, else the first digit of all, at most 3; 0 where there is none."""
+    found = [F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit("")) for p in (r"(?i)grade\"?\s*[:=]\s*([0-3])", r"(?i)grade\D{0,5}([0-3])", r"([0-9])")]
+    digit = F.coalesce(*found).cast("int")
+    return F.when(digit > 3, 3).otherwise(F.coalesce(digit, F.lit(0)))
 
 
 def valid(c: Column) -> Column:
@@ -91,14 +122,21 @@ def endpoint_source(url: Column) -> Column:
     return F.when(host.isin("localhost", "127.0.0.1", "[::1]", "0.0.0.0"), "local").otherwise("remote")
 
 
-#: Folder names of the roles, by language.
-ROLES = {"inbox": "inbox", "posteingang": "inbox", "sent": "sent", "sent items": "sent", "sent mail": "sent", "gesendet": "sent", "drafts": "drafts", "entwürfe": "drafts", "trash": "trash", "deleted items": "trash", "papierkorb": "trash", "junk": "junk", "spam": "junk", "archive": "archive", "all mail": "archive"}
-
-
-def folder_role(name: Column, flag: Column, override: Column | None = None) -> Column:
-    """F52. Override, then flag, then name, then 'other'."""
-    table = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    leaf = F.lower(F.regexp_extract(name, r"([^/.]+)$", 1))
-    flagged = F.lower(F.regexp_replace(F.coalesce(flag, F.lit("")), r"^\\", ""))
-    known = F.coalesce(F.element_at(table, flagged), F.element_at(table, leaf), F.lit("other"))
-    return F.coalesce(override, known) if override is not None else known
+#: Whole folder names, in lower case, and their roles.
+ROLES = {
+    "inbox": "inbox", "sent": "sent", "sent messages": "sent", "sent items": "sent", "sent mail": "sent", "archive": "archive", "all mail": "archive", "drafts": "drafts", "junk": "junk",
+    "junk e-mail": "junk", "spam": "junk", "bulk mail": "junk", "trash": "trash", "deleted messages": "trash", "deleted items": "trash", "bin": "trash",
+}
+#: Special-use attributes (RFC 6154) and their roles.
+FLAG_ROLES = {"\\inbox": "inbox", "\\sent": "sent", "\\archive": "archive", "\\all": "archive", "\\drafts": "drafts", "\\junk": "junk", "\\trash": "trash"}
+
+
+def folder_role(name: Column, flags: Column, overrides: dict[str, str] | None = None) -> Column:
+    """F52. A user's own role for the name, else the first known flag's, else the whole name's, else 'other'; a sub-folder of an inbox is none."""
+    lookup = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    for k, v in (overrides or {}).items():
+        if v.lower() not in {*ROLES.values(), "other"}:
+            raise ValueError(f"unknown role {v!r} of folder {k!r}")
+    own = F.element_at(lookup({k.lower(): v.lower() for k, v in overrides.items()}), F.lower(name)) if overrides else F.lit(None).cast("string")
+    flagged = F.get(F.filter(F.transform(flags, lambda f: F.element_at(lookup(FLAG_ROLES), F.lower(f))), lambda r: r.isNotNull()), F.lit(0))
+    return F.coalesce(own, flagged, F.element_at(lookup(ROLES), F.lower(F.trim(name))), F.lit("other"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
@@ -21,14 +22,18 @@ SIGNATURE_CHARS, SIGNATURE_LINES, BODY_LEFT = 600, 12, 40
 MAGNITUDES = {"k": 3, "thousand": 3, "m": 6, "mm": 6, "mn": 6, "million": 6, "b": 9, "bn": 9, "billion": 9, "t": 12, "tn": 12, "trillion": 12}
 #: Query parameters that only track.
 TRACKING = (
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_name utm_reader utm_brand utm_social fbclid gclid dclid gbraid wbraid msclkid yclid "
-    "mc_cid mc_eid _hsenc _hsmi igshid mkt_tok vero_id vero_conv oly_anon_id oly_enc_id rb_clickid s_cid trk trkcampaign"
+    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_name utm_brand utm_social fbclid gclid dclid gbraid wbraid msclkid yclid twclid "
+    "mc_cid mc_eid ml_subscriber _hsenc _hsmi hsctatracking vero_conv vero_id ck_subscriber_id _branch_match_id ref_src s_cid icid spm"
 ).split()
+#: Signs at an address's end that belong to the sentence.
+SENTENCE_SIGNS = ".,;:!?"
+#: RFC 2397: a media type, parameters, the base64 marker and the payload.
+DATA_URI = r"(?i)data:[\w.+/-]{0,128}(?:;[\w-]+=[\w.-]+)*;base64,[a-z0-9+/]+={0,2}"
 
 
 def strip_encoded_blobs(c: Column) -> Column:
     """F16. Data URIs first, then long runs with and without slashes."""
-    c = F.regexp_replace(c, r"(?i)data:[a-zA-Z0-9./+\-]{0,128};base64,[A-Za-z0-9+/]+={0,2}", " ")
+    c = F.regexp_replace(c, DATA_URI, " ")
     c = F.regexp_replace(c, rf"[A-Za-z0-9+/]{{{RUN_WITH_SLASH},}}={{0,2}}", " ")
     return F.regexp_replace(c, rf"[A-Za-z0-9+]{{{RUN_WITHOUT_SLASH},}}={{0,2}}", " ")
 
@@ -43,32 +48,42 @@ def strip_signature(c: Column) -> Column:
 
 
 def trim_lines(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(c, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(c, r"(?m)(?<![ \t])[ \t]++$", ""), r"\n{3,}", "\n\n"))
 
 
 def normalize_whitespace(c: Column) -> Column:
     """F19. Line ends trimmed, horizontal runs to one space, at most one blank line."""
-    c = F.regexp_replace(F.regexp_replace(c, r"(?m)[ \t]+$", ""), r"[ \t]{2,}", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?m)(?<![ \t])[ \t]++$", ""), r"[ \t]{2,}", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
-_URL = re.compile(r"https?://[^\s<>\"'\])]+", re.I)
+_ADDRESS = r"https?://[^\s\"'<>)]+"
+_URL = re.compile(_ADDRESS)
 
 
+@lru_cache(maxsize=1 << 14)
 def clean_url(url: str) -> str:
-    tail = url[len(url.rstrip(".,;:!?)")) :]
-    parts = urlsplit(url[: len(url) - len(tail)] if tail else url)
-    if not parts.query:
+    """An address without tracking parameters, its query written anew; as it is where it has none or cannot be read."""
+    bare = url.rstrip(SENTENCE_SIGNS)
+    try:
+        parts = urlsplit(bare)
+        pairs = parse_qsl(parts.query, keep_blank_values=True) if parts.query else None
+    except ValueError:
         return url
-    pairs = parse_qsl(parts.query, keep_blank_values=True)
-    kept = [(k, v) for k, v in pairs if k.lower() not in TRACKING]
-    return url if len(kept) == len(pairs) else urlunsplit(parts._replace(query=urlencode(kept))) + tail
+    if pairs is None:
+        return url
+    query = urlencode([(k, v) for k, v in pairs if k.lower() not in TRACKING])
+    return urlunsplit(parts._replace(query=query)) + url[len(bare) :]
 
 
 @F.pandas_udf(T.StringType())
-def strip_tracking(s: pd.Series) -> pd.Series:
-    """F17. Tracking parameters out of the URLs of a text."""
-    return s.map(lambda t: _URL.sub(lambda m: clean_url(m[0]), t) if isinstance(t, str) and "?" in t else t)
+def _addresses_cleaned(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: _URL.sub(lambda m: clean_url(m[0]), t), na_action="ignore")
+
+
+def strip_tracking(c: Column) -> Column:
+    """F17. Tracking parameters out of the addresses of a text; only texts that have an address with a query leave the JVM."""
+    return F.coalesce(_addresses_cleaned(F.when(c.contains("http") & c.contains("?"), c)), c)
 
 
 def clean_body(c: Column) -> Column:
@@ -142,10 +157,17 @@ def sender_domain(c: Column) -> Column:
     return F.regexp_extract(F.lower(c), r"@([\w.\-]+)", 1)
 
 
+def transcription(c: Column) -> Column:
+    """F45. Text without the description that a model puts before what it read."""
+    return F.regexp_replace(c, r"(?is)^\s*DESCRIPTION:.*?\bTEXT:\s*", "")
+
+
 def measure(c: Column) -> Column:
-    """F44. Struct of characters, words, different words and digits."""
-    words = F.filter(F.split(strip(F.lower(c)), r"(?U)\s+"), lambda w: w != "")
-    return F.struct(F.length(c).alias("chars"), F.size(words).alias("words"), F.size(F.array_distinct(words)).alias("unique_words"), F.regexp_count(c, F.lit(r"\d")).alias("digits"))
+    """F44. Struct of characters, words of two ASCII letters or more, different words and digits of a transcription."""
+    t = strip(transcription(F.coalesce(c, F.lit(""))))
+    words = F.regexp_extract_all(t, F.lit("[A-Za-z]{2,}"), F.lit(0))
+    different = F.array_distinct(F.transform(words, F.lower))
+    return F.struct(F.length(t).alias("chars"), F.size(words).alias("words"), F.size(different).alias("unique_words"), F.regexp_count(t, F.lit(r"\p{Nd}")).alias("digits"))
 
 
 def mime_base(c: Column) -> Column:

@@ -9,8 +9,8 @@ from threadloom.functions.identity import uuid5
 from threadloom.functions.text import estimate_tokens
 from threadloom.operators.mail import first_copies, upsert
 
-#: Name space of chunk ids.
-NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+#: Fixed value: name space of chunk ids.
+NAMESPACE = "6f1d2a3e9c474b8a9f1e2d5c7a840b13"
 
 
 def pack_units(units: Column, budget: int, size=estimate_tokens, joint: str = "\n") -> Column:

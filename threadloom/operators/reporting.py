@@ -1,4 +1,4 @@
-"""Selection, coverage and reporting operators (P17, P18, P24, P25, P27, J17, J19, A13, A17, A24, A37, L7, K7, S6, S20) and small text rules."""
+"""Selection, coverage and reporting operators (P17, P18, P24, P25, P27, J17, J19, A13, A17, A24, L7, K7, S6, S20) and small text rules."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.identity import strip
 from threadloom.runtime import materialise
 
 #: Sparse-text rule, characters per MB, and the size from which it holds.
@@ -118,23 +119,25 @@ def table_rows(spark: SparkSession, path: str, separator: str = ",") -> DataFram
 
 
 def embed_text(summary: Column, text: Column) -> Column:
-    """F22, F23. Summary above the text, if there is one."""
-    return F.when(F.coalesce(F.trim(summary), F.lit("")) != "", F.concat(summary, F.lit("\n\n"), text)).otherwise(text)
+    """F22, F23. The stripped summary above the text, if there is one."""
+    s = strip(F.coalesce(summary, F.lit("")))
+    return F.when(s != "", F.concat(s, F.lit("\n\n"), text)).otherwise(text)
 
 
-def encode_limit(chunk: Column) -> Column:
-    """F22."""
-    return F.least(chunk + SUMMARY_ROOM, F.lit(ENCODE_MAX))
+def encode_limit(chunk: Column, with_summary: bool = True, override: int | None = None) -> Column:
+    """F22. Tokens the encoder may take: room for a summary only where one is embedded; a stated limit wins; never above the ceiling."""
+    wanted = F.lit(override) if override is not None else chunk + SUMMARY_ROOM if with_summary else chunk
+    return F.least(wanted, F.lit(ENCODE_MAX))
 
 
 def combine_query(mode: str, query: Column, draft: Column) -> Column:
-    """F24. The query, the drafted answer, or both."""
-    if mode not in ("off", "pure", "augment"):
-        raise ValueError(f"unknown mode {mode!r}")
-    has = F.coalesce(F.trim(draft), F.lit("")) != ""
-    return query if mode == "off" else F.when(has, draft if mode == "pure" else F.concat(query, F.lit("\n"), draft)).otherwise(query)
+    """F24. The stripped draft ("pure"), the query above it ("augment"); without a draft or in any other mode the query as it is."""
+    d = strip(F.coalesce(draft, F.lit("")))
+    if mode not in ("pure", "augment"):
+        return query
+    return F.when(d == "", query).otherwise(d if mode == "pure" else F.concat(query, F.lit("\n"), d))
 
 
 def sanitized_query(c: Column) -> Column:
-    """F50. Letters, digits and single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w\s]", " "), r"\s+", " "))
+    """F50. ASCII letters and digits, with single spaces where anything else stood."""
+    return F.trim(F.regexp_replace(c, "[^0-9A-Za-z]+", " "))

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.identity import message_key, normalize_message_id, policy_fingerprint, thread_id
+from threadloom.functions.identity import content_sha256, message_key, normalize_message_id, policy_fingerprint, thread_id
 from threadloom.functions.text import clean_body, line_snippets
 from threadloom.operators import mail as M
 from threadloom.operators.chunking import check_policy, chunks, deduplicated, replace_documents
@@ -20,8 +20,12 @@ POLICY = ("clean-1", "chunk-1", "512")
 
 
 def index_rows(emails: DataFrame, rules: list[tuple[str, str, str]] | None = None, judgments: DataFrame | None = None, least: float = 0.7, budget: int = 512) -> DataFrame:
-    """Tag, drop confident noise (P8), identify, clean, chunk, give ids, then drop repeated content: lazily, with two shuffles."""
-    e = emails.withColumn("message_key", message_key(F.col("message_id"), F.sha2(F.coalesce("body", F.lit("")), 256)))
+    """Tag, drop confident noise (P8), identify, clean, chunk, give ids, then drop repeated content: lazily, with two shuffles.
+
+    A mail without a Message-ID is known by the hash of its sender, subject, date (column ``date_text``, if there is one) and body.
+    """
+    date = F.col("date_text") if "date_text" in emails.columns else F.lit("")
+    e = emails.withColumn("message_key", message_key(F.col("message_id"), content_sha256(F.col("sender"), F.col("subject"), date, F.col("body"))))
     if rules:
         e = e.where(M.first_category(rules, F.col("sender"), F.col("subject")).isNull())
     if judgments is not None:

@@ -93,7 +93,8 @@ def ref_f5_message_keys(s, sf):
     return table(s, sf, "messages").select("delivery_id", I.message_key(F.col("message_id"), F.col("content_sha256")).alias("message_key"))
 
 
-_NS = "6ba7b8119dad11d180b400c04fd430c8"
+#: Fixed value: name space of chunk ids.
+_NS = "6f1d2a3e9c474b8a9f1e2d5c7a840b13"
 
 
 @query(
@@ -109,7 +110,7 @@ def ref_f8_truncated(s, sf):
     return table(s, sf, "documents").select("doc_id", I.truncate(F.col("text"), 256).alias("cut"))
 
 
-@query("SELECT email_id, regexp_replace(regexp_replace(regexp_replace(body, '(?i)data:[a-zA-Z0-9./+-]{0,128};base64,[A-Za-z0-9+/]+={0,2}', ' ', 'g'), '[A-Za-z0-9+/]{300,}={0,2}', ' ', 'g'), '[A-Za-z0-9+]{200,}={0,2}', ' ', 'g') AS stripped FROM thread_emails")
+@query("SELECT email_id, regexp_replace(regexp_replace(regexp_replace(body, '(?i)data:[a-zA-Z0-9_./+-]{0,128}(?:;[a-zA-Z0-9_-]+=[a-zA-Z0-9_.-]+)*;base64,[A-Za-z0-9+/]+={0,2}', ' ', 'g'), '[A-Za-z0-9+/]{300,}={0,2}', ' ', 'g'), '[A-Za-z0-9+]{200,}={0,2}', ' ', 'g') AS stripped FROM thread_emails")
 def ref_f16_blobs_stripped(s, sf):
     return table(s, sf, "thread_emails").select("email_id", X.strip_encoded_blobs(F.col("body")).alias("stripped"))
 
@@ -149,7 +150,10 @@ def ref_f42_sender_domains(s, sf):
     return table(s, sf, "thread_emails").where("sender is not null").select("email_id", X.sender_domain(F.col("sender")).alias("domain"))
 
 
-@query("SELECT doc_id, length(text) AS chars, len(w) AS words, len(list_distinct(w)) AS unique_words, len(regexp_extract_all(text, '[0-9]')) AS digits FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)")
+@query(
+    f"SELECT doc_id, length(t) AS chars, len(w) AS words, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS unique_words, len(regexp_extract_all(t, '\\p{{Nd}}')) AS digits FROM (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]{{2,}}') AS w "
+    f"FROM (SELECT doc_id, {_strip("regexp_replace(text, '^\\s*DESCRIPTION:.*?\\bTEXT:\\s*', '', 'is')")} AS t FROM documents))"
+)
 def ref_f44_text_measures(s, sf):
     m = X.measure(F.col("text"))
     return table(s, sf, "documents").select("doc_id", m.alias("m")).select("doc_id", *[F.col(f"m.{c}").cast("bigint").alias(c) for c in ("chars", "words", "unique_words", "digits")])
@@ -758,9 +762,9 @@ def ref_f15_reply_chains_stripped(s, sf):
 _ROLE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROLES.items())
 
 
-@query(f"SELECT delivery_id, CASE lower(regexp_extract(folder, '([^/.]+)$', 1)) {_ROLE} ELSE 'other' END AS role FROM messages")
+@query(f"SELECT delivery_id, CASE lower(trim(folder)) {_ROLE} ELSE 'other' END AS role FROM messages")
 def ref_f52_folder_roles(s, sf):
-    return table(s, sf, "messages").select("delivery_id", folder_role(F.col("folder"), F.lit("")).alias("role"))
+    return table(s, sf, "messages").select("delivery_id", folder_role(F.col("folder"), F.array().cast("array<string>")).alias("role"))
 
 
 @query("SELECT thread_id, email_id, list_filter(a, lambda x: x <> email_id)[-24:] AS others FROM (SELECT thread_id, email_id, list(email_id) OVER (PARTITION BY account_id, thread_id ORDER BY ingested_at, email_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a FROM thread_emails WHERE thread_id <> '')")
@@ -873,9 +877,7 @@ def ref_j17_slice_with_gold(s, sf):
     return slice_with_gold(t, table(s, sf, "documents").where("thread_id is not null").select("thread_id"), 500)
 
 
-@query(
-    "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}\\s\\x{b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', ' ', 'g'), '[\\s\\x{b}]+', ' ', 'g')) AS q FROM documents"
-)
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^0-9A-Za-z ]+', ' ', 'g'), ' +', ' ', 'g')) AS q FROM documents")
 def ref_f50_sanitized(s, sf):
     from threadloom.operators.reporting import sanitized_query
 
