@@ -45,7 +45,7 @@ def collection_catalog(spark: SparkSession, default: str | None = None, prefix:
 
 def latest_manifest(spark: SparkSession, folder: str) -> str | None:
     """S26. Collection of the manifest written last, by time, then name; None without any."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     m = rows.select(F.get_json_object("value", "$.collection").alias("c"), F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("o"))
     return m.agg(F.max_by("c", "o")).first()[0]
 

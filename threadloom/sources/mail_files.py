@@ -195,7 +195,7 @@ def relevance_judgments(spark: SparkSession, path: str) -> DataFrame:
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
     """S15. (topic, query) of a JSON object of topics."""
-    one = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
+    one = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
     return one.select(F.explode("m").alias("topic", "query"))
 
 
