@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from threadloom.queries import catalogue, problems
+from threadloom.queries import catalogue, corpora, problems
 
-SQL = {**problems.oracle_sql(), **catalogue.oracle_sql()}
-ALL = {**problems.queries(), **catalogue.queries()}
+SQL = {**problems.oracle_sql(), **catalogue.oracle_sql(), **corpora.oracle_sql()}
+ALL = {**problems.queries(), **catalogue.queries(), **corpora.queries()}
 
 
 @pytest.fixture(scope="module")
