@@ -13,7 +13,7 @@ from threadloom.functions import text as X
 from threadloom.functions.replies import folder_role
 from threadloom.operators import corpora as C
 from threadloom.operators import reporting as P
-from threadloom.queries.catalogue import _KNN, _ROLE, _U, _knn, _mid, _slug, _strip, _vectors
+from threadloom.queries.catalogue import _KNN, _ROLE, _U, _WS, _knn, _mid, _slug, _strip, _vectors
 from threadloom.runtime import table
 from threadloom.streaming import stages as S
 
@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
 
 # ---------------------------------------------------------------- documents and texts
 
-_ADDR = r"[^\s<>()\[\]"",;:]+@[^\s<>()\[\]"",;:]+".replace('""', '"')
+_ADDR = r'''[^\s<>()\[\]",;:]+@[^\s<>()\[\]",;:]+'''
 
 
 def _preview(c: str) -> str:
@@ -63,7 +63,7 @@ _BODY = _strip(f"array_to_string(list_transform(string_split(replace(replace(coa
 _KEY = f"CASE WHEN length(k0) > 998 THEN 'mid-sha256:' || sha256(k0) ELSE k0 END"
 _DOCS = (
     f"WITH e AS (SELECT *, {_mid('message_id')} AS m, sha256({_INLINE('sender')} || chr(0) || {_INLINE('subject')} || chr(0) || coalesce(date_text, '') || chr(0) || {_BODY}) AS h, {_preview('to_text')} AS tp, {_preview('cc_text')} AS cp, {_slug('subject')} AS slug, "
-    f"CASE WHEN coalesce(in_reply_to, '') <> '' THEN {_mid('regexp_split_to_array(trim(in_reply_to), ' + chr(39) + chr(92) + 's+' + chr(39) + ')[1]')} ELSE {_mid('message_id')} END AS root FROM thread_emails), "
+    f"CASE WHEN coalesce(in_reply_to, '') <> '' THEN {_mid('regexp_split_to_array(trim(in_reply_to, ' + _WS + '), ' + chr(39) + chr(92) + 's+' + chr(39) + ')[1]')} ELSE {_mid('message_id')} END AS root FROM thread_emails), "
     f"f AS (SELECT *, {_KEY} AS k FROM (SELECT *, CASE WHEN m <> '' THEN m ELSE h END AS k0, CASE WHEN root <> '' THEN root WHEN slug <> '' THEN 'subj:' || slug ELSE '' END AS tid FROM e)) "
     f"SELECT 'body:' || k AS doc_id, {_cut('sender', 128)} AS sender, {_cut('subject', 256)} AS subject, \"date\", source, nullif({_cut('tp', 512)}, '') AS \"to\", nullif({_cut('cp', 512)}, '') AS cc, {_cut('tid', 998)} AS thread_id, nullif({_cut('mid', 998)}, '') AS message_id, nullif({_cut('summary', 1024)}, '') AS summary "
     "FROM (SELECT k, tp, cp, tid, coalesce(sender, '') AS sender, coalesce(subject, '') AS subject, coalesce(nullif(date_text, ''), 'unknown') AS \"date\", source_name AS source, coalesce(message_id, '') AS mid, coalesce(summary, '') AS summary FROM f)"
