@@ -1,10 +1,11 @@
 from datetime import datetime
 from itertools import product
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from threadloom.operators.deliveries import repeated_deliveries
+from threadloom.operators.deliveries import DeliveryIndex, identifiers, repeated_deliveries
 
 SCHEMA = "delivery_id bigint, batch_id bigint, account_id int, content_sha256 string, message_id string, fetched_at timestamp, _d string"
 
@@ -59,3 +60,34 @@ def test_empty_and_hot(spark):
 def test_random(spark, picks):
     rows = [(i, b, a, s, m, datetime(2024, 1, d), "") for i, (b, a, s, m, d) in enumerate(picks)]
     assert found(spark, rows) == brute(rows)
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    """Another process goes on where the last commit ended; a run that no commit names is not read."""
+    rows = [(i, i // 10, 1, f"s{i}", f"<m{i % 25}>", f"2024-01-01 00:{i % 60:02d}:00") for i in range(100)]
+    ledger = spark.createDataFrame(rows, "delivery_id bigint, batch_id bigint, account_id int, content_sha256 string, message_id string, fetched_at string")
+    ids = identifiers(ledger, "account_id", "message_id", "content_sha256", "fetched_at", "delivery_id", "batch_id")
+    path = str(tmp_path / "index")
+    whole = DeliveryIndex(spark, str(tmp_path / "whole"), 2)
+    whole.add(ids)
+    DeliveryIndex(spark, path, 2).add(ids.where("_b < 3"))
+    DeliveryIndex.open(spark, path).add(ids.where("_b >= 3 and _b < 6"))
+    lost = DeliveryIndex.open(spark, path)
+    lost._write_run(ids.limit(0).selectExpr("_d as _h", "_d as _g", "_t", "_d", "true as _n"))  # the job ends before its commit
+    last = DeliveryIndex.open(spark, path)
+    assert len(last.runs) == 2 and last.bits == 2
+    last.add(ids.where("_b >= 6"))
+    order = ["_h", "_g"]
+    assert last.entries().orderBy(*order).collect() == whole.entries().orderBy(*order).collect() and len(DeliveryIndex.open(spark, path).runs) == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from threadloom.runtime import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master=master))
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))

@@ -32,6 +32,7 @@ _IDS = ["_h", "_g"]  # two independent 64-bit hashes: 128 bits of identity
 #: _t, _d: instant and id of the earliest delivery under the identifier; _n: some delivery under it has no Message-ID.
 _ENTRY = "_h bigint, _g bigint, _t bigint, _d bigint, _n boolean"
 _RUN = "_bucket int, _run int, hs array<bigint>, gs array<bigint>, ts array<bigint>, ds array<bigint>, ns array<boolean>"
+_COMMIT = "commit_no int, bits int, made int, runs array<string>"
 _LAST = 2**63 - 1
 #: Identifiers per bucket that a run aims at; one task handles one bucket's arrays.
 BUCKET_IDS = 1 << 15
@@ -94,12 +95,30 @@ def _search(runs: pd.DataFrame, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarra
 
 
 class DeliveryIndex:
-    """Immutable sorted runs under ``path``; ``bits`` of the hash select the bucket."""
+    """Immutable sorted runs under ``path``; ``bits`` of the hash select the bucket.
+
+    Every ``add`` ends with a commit that names the valid runs, so another process can ``open`` the index and go on; runs that no commit names
+    are left over from a job that ended early and are never read.
+    """
 
     def __init__(self, spark: SparkSession, path: str, bits: int, fan_in: int = 3):
         self.spark, self.path, self.bits, self.fan_in = spark, path, bits, fan_in
         self.runs: list[str] = []
         self.made = 0
+        self.commits = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fan_in: int = 3) -> "DeliveryIndex":
+        """The index as its last commit left it."""
+        last = spark.read.schema(_COMMIT).parquet(f"{path}/commits/*").orderBy(F.desc("commit_no")).first()
+        index = cls(spark, path, last["bits"], fan_in)
+        index.runs, index.made, index.commits = list(last["runs"]), last["made"], last["commit_no"]
+        return index
+
+    def _commit(self) -> None:
+        self.commits += 1
+        row = self.spark.createDataFrame([(self.commits, self.bits, self.made, self.runs)], _COMMIT)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{self.commits:09d}")
 
     def _bucket(self) -> Column:
         return F.shiftrightunsigned(F.col("_h"), 64 - self.bits).cast("int") if self.bits else F.lit(0)
@@ -112,7 +131,7 @@ class DeliveryIndex:
         (
             entries.groupBy(self._bucket().alias("_bucket")).agg(arr.alias("a"))
             .select("_bucket", F.lit(self.made).alias("_run"), F.col("a._h").alias("hs"), F.col("a._g").alias("gs"), F.col("a._t").alias("ts"), F.col("a._d").alias("ds"), F.col("a._n").alias("ns"))
-            .write.parquet(path)
+            .write.mode("overwrite").parquet(path)
         )
         self.runs.append(path)
 
@@ -151,6 +170,7 @@ class DeliveryIndex:
         if len(self.runs) >= self.fan_in:
             merged, self.runs = self.entries(), []
             self._write_run(merged)
+        self._commit()
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -176,7 +196,7 @@ def repeated_deliveries(
     spark = ledger.sparkSession
     ids = materialise(identifiers(ledger, account, message_id, digest, fetched, delivery, batch), "ids")
     n, low, high = ids.agg(F.count("*"), F.min("_b"), F.max(F.when(F.col("_b") < _LAST, F.col("_b")))).first()
-    bits = max(0, min(24, math.ceil(math.log2(max(1, 2 * n / BUCKET_IDS)))))
+    bits = max(0, min(31, math.ceil(math.log2(max(1, 2 * n / BUCKET_IDS)))))
     index = DeliveryIndex(spark, new_path(spark, "delivery-index"), bits)
     low, high = low or 0, high or 0
     cuts = [low + (high - low + 1) * k // rounds for k in range(rounds)]
