@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.sampling import portions
+
 DEFAULT_SIZE, DEFAULT_OVERLAP = 512, 64
 _SENTENCE_END = np.array([ord(c) for c in ".!?…。！？;:"], np.uint32)
 #: Code point ranges that never begin a cluster: combining marks, joiners, variation selectors, skin tones, tags.
@@ -133,13 +135,16 @@ def split_oversized(df: DataFrame, key: str, text: str, size: str, overlap: str,
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["_text"].tolist()
-            k, start, end = cut_texts(texts, b["_size"].to_numpy(np.int64), b["_overlap"].to_numpy(np.int64))
-            first = np.searchsorted(k, k)  # k ascends: number of pieces of earlier texts
-            out = {"_key": b["_key"].to_numpy()[k], "piece_no": (np.arange(len(k)) - first + 1).astype(np.int32), "start_at": start, "end_at": end}
-            if with_text:
-                out["piece"] = [texts[i][a:z] for i, a, z in zip(k.tolist(), start.tolist(), end.tolist())]
-            yield pd.DataFrame(out)
+            whole, keys = b["_text"].tolist(), b["_key"].to_numpy()
+            sizes, overlaps = b["_size"].to_numpy(np.int64), b["_overlap"].to_numpy(np.int64)
+            for low, high in portions(whole):  # about ten numbers a character are held at a time
+                texts = whole[low:high]
+                k, start, end = cut_texts(texts, sizes[low:high], overlaps[low:high])
+                first = np.searchsorted(k, k)  # k ascends: number of pieces of earlier texts
+                out = {"_key": keys[low:high][k], "piece_no": (np.arange(len(k)) - first + 1).astype(np.int32), "start_at": start, "end_at": end}
+                if with_text:
+                    out["piece"] = [texts[i][a:z] for i, a, z in zip(k.tolist(), start.tolist(), end.tolist())]
+                yield pd.DataFrame(out)
 
     return over.mapInPandas(cut, schema).withColumnRenamed("_key", key)
 
