@@ -152,10 +152,15 @@ def pack(sized: DataFrame, key: str, tokens: str, capacity: int, groups: int = 1
             group = F.when(F.col("n") >= e, number[e]).otherwise(group)
         counts = F.element_at(F.array(*[F.lit(g[2]) for g in made]), F.col("_g") + 1)
         ranked = grouped_row_number(large.withColumn("_g", group).withColumn("_size", counts), "_g", "_size", [F.col("n").desc(), F.col("_key"), F.col("part_no")], "_rank")
-        table = spark.createDataFrame(slots(plan(made, capacity)), "_g int, _from bigint, _to bigint, _per bigint, _base bigint")
+        by_group: dict[int, list[tuple[int, int, int]]] = {}
+        for g, start, _, per, at in slots(plan(made, capacity)):
+            by_group.setdefault(g, []).append((start, per, at))
+        table = spark.createDataFrame([(g, sorted(s)) for g, s in by_group.items()], "_g int, _slots array<struct<start:bigint,per:bigint,base:bigint>>")
         r = F.col("_rank") - 1
-        placed = ranked.join(F.broadcast(table), "_g").where((r >= F.col("_from")) & (r < F.col("_to")))  # groups x patterns rows
-        placed = placed.select("_key", "part_no", "n", F.concat(F.lit("p"), (F.col("_base") + F.floor((r - F.col("_from")) / F.col("_per"))).cast("bigint")).alias("container_id"))
+        # a row a group; the last slot that starts at or before a rank is its own
+        slot = F.element_at("_slots", F.size(F.filter("_slots", lambda s: s["start"] <= r)))
+        placed = ranked.join(F.broadcast(table), "_g").withColumn("_s", slot)
+        placed = placed.select("_key", "part_no", "n", F.concat(F.lit("p"), (F.col("_s.base") + F.floor((r - F.col("_s.start")) / F.col("_s.per"))).cast("bigint")).alias("container_id"))
     else:
         placed = large.withColumn("container_id", F.lit("p0"))
     placed = materialise(placed, "placed")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,11 +103,11 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     """The documents in containers of every capacity of pack_limits (a table of three rows)."""
     sized = _sized(spark, sf)
-    out = None
-    for limit in table(spark, sf, "pack_limits").orderBy("limit_id").collect():
-        part = pack(sized, "doc_id", "n_tokens", limit["capacity_tokens"]).withColumn("limit_id", F.lit(limit["limit_id"]))
-        out = part if out is None else out.unionByName(part)
-    return out.select("limit_id", "container_id", "doc_id", "part_no", "token_start", "n_tokens")
+    wanted = table(spark, sf, "pack_limits").orderBy("limit_id").collect()
+    # each capacity plans on the driver between its jobs: side by side they fill the cluster
+    with ThreadPoolExecutor(len(wanted) or 1) as pool:
+        parts = list(pool.map(lambda r: pack(sized, "doc_id", "n_tokens", r["capacity_tokens"]).withColumn("limit_id", F.lit(r["limit_id"])), wanted))
+    return reduce(DataFrame.unionByName, parts).select("limit_id", "container_id", "doc_id", "part_no", "token_start", "n_tokens")
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
