@@ -1,6 +1,6 @@
 import numpy as np
 
-from threadloom.llm.email_lines import HEADED, INTRO, NEW, NOTICE, QUOTED, SIGNATURE, Lines, fit, heuristic, label, label_lines, new_text
+from threadloom.llm.email_lines import HEADED, INTRO, NEW, NOTICE, QUOTED, SIGNATURE, Lines, copied, evidence_agreement, fit, heuristic, label, label_lines, new_text, portions
 
 MAIL = """[EXTERNAL] This mail comes from outside. Be careful with links.\r
 \r
@@ -85,3 +85,37 @@ def test_decoding_equals_exhaustive_search():
             return t + sum((-1e6 if p == HEADED and q != HEADED else m.t[p, q]) for p, q in zip(s, s[1:]))
 
         assert tuple(got[a:z]) == max(product(range(len(STATES)), repeat=z - a), key=total)
+
+
+def test_copies_of_the_answered_message():
+    x = Lines(["New line of my own here, longer than that.\nThe first line of the earlier message.\nAnd the second one of the earlier message.\n\nshort", "The first line of the earlier message.\nMine, and long enough to be telling.", "> The first line of the earlier message.\n> And the second one of the earlier message."])
+    parent = "Hello\r\nThe first line of the earlier message.\r\nAnd the second one of the earlier message.\r\nshort"
+    assert copied(x, [parent, parent, parent]).tolist() == [False, True, True, False, False, False, True, True]
+    assert not copied(x, [None, None, None]).any() and not len(copied(Lines([]), []))
+
+
+def test_portions():
+    assert list(portions(["aa", None, "bbbb", "c", "d" * 9], 4)) == [(0, 2), (2, 3), (3, 4), (4, 5)] and list(portions([])) == []
+
+
+def test_agreement_with_answered_messages(spark):
+    """Accuracy on lines that stand word for word in the answered message: evidence the annotation has no part in."""
+    emails = spark.read.parquet("/root/testdata/sf0.01/thread_emails.parquet")
+    n, share = evidence_agreement(emails, "email_id", "body", ("account_id", "message_id", "in_reply_to"))
+    assert n > 1000 and share > 0.995
+
+
+def test_unmarked_copies_are_taught(spark):
+    """A style of quoting that the reading does not know: earlier mail under a row of stars, unmarked.  The answered messages teach it."""
+    rows = []
+    for i in range(400):
+        first = [f"Item {i} of the list was counted by us on floor {i % 7}.", f"Please send the papers for lot {i} to the office.", f"The lid of box {i} does not close any more."]
+        rows.append((2 * i, 1, f"m{i}", None, "\n".join(first)))
+        rows.append((2 * i + 1, 1, f"r{i}", f"<m{i}>", f"We have sent what you asked for, number {i}.\n\n** ** **\n" + "\n".join(first)))
+    df = spark.createDataFrame(rows, "email_id bigint, account_id int, message_id string, in_reply_to string, body string")
+    got = {}
+    for r in label_lines(df, reply=("account_id", "message_id", "in_reply_to")).where("email_id % 2 = 1").collect():
+        got.setdefault(r["email_id"], set()).add(r["line_no"])
+    assert np.mean([{4, 5, 6} <= got.get(2 * i + 1, set()) for i in range(400)]) > 0.95
+    assert np.mean([1 not in got.get(2 * i + 1, set()) for i in range(400)]) > 0.95
+    assert label_lines(df).where("line_no >= 4").count() == 0

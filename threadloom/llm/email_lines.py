@@ -5,8 +5,12 @@ regular expressions).  A linear-chain model with one state per role (new, introd
 a prefix, quoted under headers, signature, notice) scores kinds of the line and of its neighbours,
 blank lines around it and its position; the best state sequence comes from a Viterbi pass over all
 e-mails of a batch at once.  The model is an averaged structured perceptron, fitted on the driver on
-at most ``sample`` e-mails (default 4,000, those with the smallest hash of the id) that a labelling
-heuristic over whole e-mails has annotated.
+at most ``sample`` e-mails (default 4,000, those with the smallest hash of the id).  Their labels come from a
+reading of whole e-mails and, where the message that one answers is there, from that message: a block of two
+lines or more that it holds word for word is earlier mail, whatever the reading says, and what the reading
+misses of it is taught as such.  ``evidence_agreement`` measures a model by those lines alone.
+
+Bodies are labelled in portions of about ``LINES_PORTION`` characters, so memory does not follow the rows of a batch.
 
 Defined results: null and blank bodies have no lines; blank lines are never reported; a CR before an
 LF belongs to no line; line numbers count all lines from 1; very long bodies are labelled whole;
@@ -24,8 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.identity import normalize_message_id
 from threadloom.llm.encodings import repair, suspect
-from threadloom.llm.sampling import bounded_sample
+from threadloom.llm.sampling import bounded_sample, portions
 
 STATES = ("new", "intro", "quoted", "headed", "signature", "notice")
 NEW, INTRO, QUOTED, HEADED, SIGNATURE, NOTICE = range(6)
@@ -100,6 +105,12 @@ def line_kinds(lines: pa.Array) -> np.ndarray:
     return kind
 
 
+#: Characters labelled at a time; a pass takes as many steps as its longest e-mail has lines, so portions are not small.
+LINES_PORTION = 4_000_000
+#: Shortest line that says where it comes from.
+TELLING = 25
+
+
 def _readable(text: str) -> str:
     """Text with wrongly decoded spans restored, so that its closing words and marks are known; the lines stay the same."""
     if text.isascii() or not suspect(text):
@@ -355,15 +366,54 @@ def label(model: LineModel, bodies: list[str | None]) -> tuple[Lines, np.ndarray
     return x, model.decode(model.emit(feature_codes(x)[0]), x.first)
 
 
-def fitted(emails: DataFrame, key: str, body: str, sample: int = 4000) -> LineModel:
-    rows = bounded_sample(emails.select(F.col(key).alias("k"), F.col(body).alias("b")).where("b is not null"), "k", sample)
+def copied(x: Lines, answered: list[str | None]) -> np.ndarray:
+    """Lines of blocks of two or more that the answered message (one for each body, null where it is not there) holds word for word."""
+    bare = lambda t: t.lstrip("> |\t").strip()
+    held = [{bare(line) for line in (a or "").replace("\r\n", "\n").split("\n")} for a in answered]
+    hit = np.array([len(b) >= TELLING and b in held[o] for o, b in zip(x.owner.tolist(), map(bare, x.text.to_pylist()))], bool)
+    if not len(hit):
+        return hit
+    near = np.r_[hit[1:] & ~x.first[1:], False] | np.r_[False, hit[:-1] & ~x.first[1:]]
+    return hit & near
+
+
+def _taught(emails: DataFrame, key: str, body: str, reply: tuple[str, str, str] | None, sample: int) -> tuple[Lines, np.ndarray]:
+    """(lines of the sample, which of them are copied from the answered message)."""
+    blank = F.lit(None).cast("string")
+    own, parent = (F.concat_ws("\0", F.col(reply[0]).cast("string"), normalize_message_id(F.col(c))) if reply else blank for c in (reply or ("", "", ""))[1:])
+    known = F.length(normalize_message_id(F.col(reply[2]))) > 0 if reply else F.lit(False)
+    rows = bounded_sample(emails.select(F.col(key).alias("k"), F.col(body).alias("b"), F.when(known, parent).alias("p")).where("b is not null"), "k", sample)
+    wanted = sorted({r["p"] for r in rows if r["p"]})
+    found: dict[str, str] = {}
+    if wanted:
+        keys = emails.sparkSession.createDataFrame([(w,) for w in wanted], "p string")  # at most a row per sampled e-mail
+        same = emails.select(own.alias("p"), F.col(body).alias("b")).where("b is not null").join(F.broadcast(keys), "p")
+        found = {r["p"]: r["b"] for r in same.groupBy("p").agg(F.min_by("b", F.xxhash64("b")).alias("b")).collect()}
     x = Lines([r["b"] for r in rows])
-    return fit(x, heuristic(x))
+    return x, copied(x, [found.get(r["p"]) for r in rows])
+
+
+def fitted(emails: DataFrame, key: str, body: str, sample: int = 4000, reply: tuple[str, str, str] | None = None) -> LineModel:
+    """Model of a table.  ``reply``: columns of the account, of the Message-ID and of the answered Message-ID."""
+    x, old = _taught(emails, key, body, reply, sample)
+    y = heuristic(x)
+    y[old & (y == NEW)] = QUOTED
+    return fit(x, y)
+
+
+def evidence_agreement(emails: DataFrame, key: str, body: str, reply: tuple[str, str, str], sample: int = 4000) -> tuple[int, float]:
+    """(lines copied from the answered message, share of them that the model takes for earlier mail): a measure the reading has no part in."""
+    x, old = _taught(emails, key, body, reply, sample)
+    if not old.any():
+        return 0, 1.0
+    model = fitted(emails, key, body, sample, reply)
+    y = model.decode(model.emit(feature_codes(x)[0]), x.first)
+    return int(old.sum()), float((y[old] != NEW).mean())
 
 
-def label_lines(emails: DataFrame, key: str = "email_id", body: str = "body", sample: int = 4000) -> DataFrame:
+def label_lines(emails: DataFrame, key: str = "email_id", body: str = "body", sample: int = 4000, reply: tuple[str, str, str] | None = None) -> DataFrame:
     """(key, line_no, role) of every non-blank line that its sender did not newly write."""
-    model = fitted(emails, key, body, sample)
+    model = fitted(emails, key, body, sample, reply)
     # features that the sample never showed have no weight; only the others travel to the executors
     used = np.flatnonzero(np.abs(model.w).sum(1) > 0)
     w, t, offset, shape = model.w[used], model.t, model.offset, model.w.shape
@@ -375,27 +425,31 @@ def label_lines(emails: DataFrame, key: str = "email_id", body: str = "body", sa
         m.w = np.zeros(shape, np.float32)
         m.w[used] = w
         for b in batches:
-            x, y = label(m, b["_body"].tolist())
-            old = y != NEW
-            yield pd.DataFrame({"_key": b["_key"].to_numpy()[x.owner[old]], "line_no": x.number[old].astype(np.int32), "role": roles[y[old]]})
+            bodies, keys = b["_body"].tolist(), b["_key"].to_numpy()
+            for a, z in portions(bodies, LINES_PORTION):
+                x, y = label(m, bodies[a:z])
+                old = y != NEW
+                yield pd.DataFrame({"_key": keys[a:z][x.owner[old]], "line_no": x.number[old].astype(np.int32), "role": roles[y[old]]})
 
     rows = emails.select(F.col(key).cast("bigint").alias("_key"), F.col(body).alias("_body")).where("_body is not null")
     return rows.mapInPandas(run, "_key bigint, line_no int, role string").withColumnRenamed("_key", key)
 
 
-def new_text(emails: DataFrame, key: str = "email_id", body: str = "body", sample: int = 4000) -> DataFrame:
+def new_text(emails: DataFrame, key: str = "email_id", body: str = "body", sample: int = 4000, reply: tuple[str, str, str] | None = None) -> DataFrame:
     """(key, new_text): every body reduced to the lines its sender newly wrote; '' where there are none."""
-    model = fitted(emails, key, body, sample)
+    model = fitted(emails, key, body, sample, reply)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t.replace("\r\n", "\n") for t in b["_body"]]
-            x, y = label(model, texts)
-            drop: dict[int, set[int]] = {}
-            for o, no in zip(x.owner[y != NEW].tolist(), x.number[y != NEW].tolist()):
-                drop.setdefault(o, set()).add(no)
-            kept = ["\n".join(s for i, s in enumerate(t.split("\n"), 1) if i not in drop.get(o, ())).strip() for o, t in enumerate(texts)]
-            yield pd.DataFrame({"_key": b["_key"], "new_text": kept})
+            bodies, keys = b["_body"].tolist(), b["_key"].to_numpy()
+            for a, z in portions(bodies, LINES_PORTION):
+                texts = [t.replace("\r\n", "\n") for t in bodies[a:z]]
+                x, y = label(model, texts)
+                drop: dict[int, set[int]] = {}
+                for o, no in zip(x.owner[y != NEW].tolist(), x.number[y != NEW].tolist()):
+                    drop.setdefault(o, set()).add(no)
+                kept = ["\n".join(s for i, s in enumerate(t.split("\n"), 1) if i not in drop.get(o, ())).strip() for o, t in enumerate(texts)]
+                yield pd.DataFrame({"_key": keys[a:z], "new_text": kept})
 
     rows = emails.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(body), F.lit("")).alias("_body"))
     return rows.mapInPandas(run, "_key bigint, new_text string").withColumnRenamed("_key", key)

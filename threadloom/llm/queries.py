@@ -54,16 +54,19 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf, True)
 
 
+_REPLY = ("account_id", "message_id", "in_reply_to")
+
+
 def _bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "thread_emails").select("email_id", "body")
+    return table(spark, sf, "thread_emails").select("email_id", "body", *_REPLY)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return label_lines(_bodies(spark, sf)).select("email_id", "line_no")
+    return label_lines(_bodies(spark, sf), reply=_REPLY).select("email_id", "line_no")
 
 
 def p3_new_text(spark: SparkSession, sf: str) -> DataFrame:
-    return new_text(_bodies(spark, sf))
+    return new_text(_bodies(spark, sf), reply=_REPLY)
 
 
 def _mails(spark: SparkSession, sf: str) -> DataFrame:
