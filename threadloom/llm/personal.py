@@ -46,7 +46,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](
 _DIGITS = re.compile(r"\d+")
 #: Seven digits or more, at most four other characters of a line between two of them.
 _CLUSTER = re.compile(r"\d(?:[^\n\d]{0,4}\d){6,}")
-_RUN = re.compile(rf"(?<![\w@.’'-])[{_UP}]{_W}+(?:[’'-]{_W}+)*(?: (?:(?:de|da|do|dos|van|von|der) )?[{_UP}]{_W}+(?:[’'-]{_W}+)*){{1,3}}(?![\w@]|[-’']\w)")
+_RUN = re.compile(rf"[{_UP}](?<![\w@.’'-][{_UP}]){_W}+(?:[’'-]{_W}+)*(?: (?:(?:de|da|do|dos|van|von|der) )?[{_UP}]{_W}+(?:[’'-]{_W}+)*){{1,3}}(?![\w@]|[-’']\w)")
 #: Share of names that runs of unknown words must have where the model accepts them.
 UNLISTED_PRECISION = 0.995
 _SPELLED = re.compile(
