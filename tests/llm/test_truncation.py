@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from threadloom.llm.linear import HashedLogistic, slot
-from threadloom.llm.truncation import cut_documents, ending, features, last_line, last_word, strip_notice, vocabulary
+from threadloom.llm.truncation import cut_documents, ending, features, last_line, last_word, limits, strip_notice, vocabulary
 
 
 @pytest.mark.parametrize("text, want", [("so let us ho\n\n[View entire message]", ("so let us ho", "notice")), ("the mil...", ("the mil", "dots")), ("done. …", ("done.", "spaced dots")), ("ok.\n(TK-75759)", ("ok.\n(TK-75759)", "")), ("", ("", ""))])
@@ -55,3 +55,16 @@ def test_vocabulary_of_odd_and_very_long_texts(spark):
 def test_an_ending_reads_like_its_text(text):
     assert strip_notice(ending(text))[1] == strip_notice(text)[1]
     assert (features(ending(text), False, False, "k", 3, 0) == features(text, False, False, "k", 3, 0)).all()
+
+
+def test_a_cut_word_before_a_notice_is_no_word_inside_a_text(spark):
+    texts = ["so let us ho\n\n[View entire message]", "the mil...", "a barn <more> ", "x\nend of li …\n", "see [1] now", "....", "\n[…]"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["item"]: r["count"] for r in vocabulary(df, "text").collect()}
+    assert got == {"so": 1, "let": 1, "us": 1, "the": 1, "a": 1, "x": 1, "\nx": 1, "end": 1, "of": 1, "see": 1, "1": 1}
+
+
+def test_copies_of_a_text_make_no_limit(spark):
+    rows = [("s", "x" * 90)] * 50 + [("s", f"{i:02}" + "y" * 48) for i in range(9)]
+    df = spark.createDataFrame(rows, "src string, text string").selectExpr("*", "length(text) _c", "octet_length(text) _b")
+    assert {(r["unit"], r["n"]) for r in limits(df).collect()} == {("c", 50), ("b", 50)}

@@ -48,6 +48,8 @@ _MARK = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])?\s*")
 #: White space within a line.
 SPACES = " \t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LAST_WORD = r"([\p{L}\p{N}]+(?:[’'-][\p{L}\p{N}]+)*)"
+#: ``strip_notice`` for Spark, on the last ``NOTICE_CHARS`` of a text without white space at its end.
+ADDED = r"(?:\[[^\[\]\n]{1,40}\]|<[^<>@\n]{3,40}>|\.{3}|…)\z"
 
 
 def _shape(token: str) -> str:
@@ -137,8 +139,9 @@ def features(text: str, at_chars: bool, at_bytes: bool, kind: str, count: int, l
 
 
 def limits(docs: DataFrame, least: int = 5, times: float = 4.0) -> DataFrame:
-    """(src, unit, n, is_limit): lengths a source shows ``least`` times or more and ``times`` as often as the 20 around them on average."""
-    lengths = docs.select("src", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.length("text").alias("n")), F.struct(F.lit("b").alias("unit"), F.octet_length("text").alias("n")))).alias("x")).select("src", "x.*")
+    """(src, unit, n, is_limit): lengths a source shows ``least`` times or more and ``times`` as often as the 20 around them on average; copies of a text count once."""
+    docs = docs.groupBy("src", F.xxhash64("text")).agg(F.first("_c").alias("_c"), F.first("_b").alias("_b"))
+    lengths = docs.select("src", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("_c").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("_b").alias("n")))).alias("x")).select("src", "x.*")
     counted = lengths.groupBy("src", "unit", "n").agg(F.count("*").alias("c"))
     near = counted.select("src", "unit", F.explode(F.sequence(F.col("n") - 10, F.col("n") + 10)).alias("n"), "c").groupBy("src", "unit", "n").agg(F.sum("c").alias("around"))
     return (
@@ -151,9 +154,9 @@ def limits(docs: DataFrame, least: int = 5, times: float = 4.0) -> DataFrame:
 def _prepared(docs: DataFrame, key: str, text: str, source: str, kind: str) -> DataFrame:
     """Key, text, limit flags and last word's count of every document that has a text."""
     base = docs.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(source), F.lit("\0")).alias("src"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S"))
+    base = base.withColumns({"_c": F.length("text"), "_b": F.octet_length("text")})
     found = materialise(limits(base), "limits")
     by = lambda unit, flag: found.where(F.col("unit") == unit).select("src", F.col("n").alias(f"_{unit}"), F.col("is_limit").alias(flag))
-    base = base.withColumns({"_c": F.length("text"), "_b": F.octet_length("text")})
     base = base.join(by("c", "at_chars"), ["src", "_c"], "left").join(by("b", "at_bytes"), ["src", "_b"], "left")
     no = F.lit(False)
     return base.select("_key", "kind", "text", F.coalesce("at_chars", no).alias("at_chars"), F.coalesce("at_bytes", no).alias("at_bytes"))
@@ -162,9 +165,12 @@ def _prepared(docs: DataFrame, key: str, text: str, source: str, kind: str) -> D
 def vocabulary(docs: DataFrame, text: str) -> DataFrame:
     """(item, count) of all words that something follows in their text, and of all short lines that another line follows, led by a line feed.
 
-    Every expression is linear in the length of a text: no pattern can start anew inside a run that it has read.
+    What a system put after a cut is no part of a text here, else a cut word would count as one inside its text.  Every expression is
+    linear in the length of a text: no pattern can start anew inside a run that it has read.
     """
-    t = F.col(text)
+    trimmed = F.rtrim(F.col(text), F.lit(SPACES + "\n"))
+    added = F.length(F.regexp_extract(F.right(trimmed, F.lit(NOTICE_CHARS)), ADDED, 0))
+    t = F.when(added > 0, F.substring(trimmed, F.lit(1), F.length(trimmed) - added)).otherwise(F.col(text))
     all_words = F.regexp_extract_all(F.lower(t), F.lit(LAST_WORD), F.lit(1))
     # possessive, from a single letter on, so a run of white space is read once
     open_end = t.rlike(r"[\p{L}\p{N}][’'-]*+\s*+\z").cast("int")
@@ -173,7 +179,7 @@ def vocabulary(docs: DataFrame, text: str) -> DataFrame:
     before_last = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
     bare = F.transform(before_last, lambda l: F.btrim(F.regexp_replace(F.btrim(l, F.lit(SPACES)), r"^(?:[-*•]|\d{1,3}[.)])?", ""), F.lit(SPACES)))
     short = F.transform(F.filter(bare, lambda l: (F.length(l) <= SHORT_LINE) & (l != "")), lambda l: F.concat(F.lit("\n"), l))
-    return docs.where(t.isNotNull()).select(F.explode(F.concat(words, short)).alias("item")).groupBy("item").agg(F.count("*").alias("count"))
+    return docs.where(F.col(text).isNotNull()).select(F.explode(F.concat(words, short)).alias("item")).groupBy("item").agg(F.count("*").alias("count"))
 
 
 def _cut(text: str, rng: random.Random) -> tuple[str, bool] | None:
