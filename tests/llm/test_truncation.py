@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from threadloom.llm.linear import HashedLogistic, slot
-from threadloom.llm.truncation import cut_documents, ending, features, last_line, last_word, limits, strip_notice, vocabulary
+from threadloom.llm.truncation import _fitted, cut_documents, ending, features, last_line, last_word, limits, strip_notice, vocabulary
 
 
 @pytest.mark.parametrize("text, want", [("so let us ho\n\n[View entire message]", ("so let us ho", "notice")), ("the mil...", ("the mil", "dots")), ("done. …", ("done.", "spaced dots")), ("ok.\n(TK-75759)", ("ok.\n(TK-75759)", "")), ("", ("", ""))])
@@ -68,3 +68,19 @@ def test_copies_of_a_text_make_no_limit(spark):
     rows = [("s", "x" * 90)] * 50 + [("s", f"{i:02}" + "y" * 48) for i in range(9)]
     df = spark.createDataFrame(rows, "src string, text string").selectExpr("*", "length(text) _c", "octet_length(text) _b")
     assert {(r["unit"], r["n"]) for r in limits(df).collect()} == {("c", 50), ("b", 50)}
+
+
+def test_every_document_is_fitted_on(spark):
+    """Each row has a slot of its own beside its class's: all of them get a weight, in one shard or in many."""
+    rows = [(k, y, [10 + y, 1000 + 2 * k + y]) for k in range(3000) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "_key bigint, y int, x array<int>")
+    for shard in (1000, 5000):
+        m = _fitted(df, 3000, shard)
+        assert m.w[10] < -0.5 and m.w[11] > 0.5
+        assert (m.w[1000:7000] != 0).all() and np.flatnonzero(m.w).size == 6002
+
+
+def test_shards_find_what_one_fit_finds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, many = ({r[0] for r in cut_documents(docs, shard=n).where("is_cut").select("doc_id").collect()} for n in (20_000, 350))
+    assert len(one & many) > 0.9 * len(one | many)

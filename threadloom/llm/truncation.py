@@ -7,8 +7,8 @@ features of the closing characters, the last line, punctuation, the last word's
 the length against the source's limits scores every record.
 
 Limits are lengths, in code points or bytes, that a source shows far more often than the lengths
-around them; word frequencies and limits are counted over all documents.  Only the fit uses a sample:
-about ``sample`` documents (default 20,000), those with the smallest hashes of the id.
+around them; word frequencies and limits are counted over all documents.  All documents are fitted on as well, in
+shards of about 20,000 by the hash of the id, whose models' mean scores the records; the threshold follows all scores.
 
 Defined results: null, empty and white-space texts are never cut; very long texts count like others;
 a null source is a source of its own; repeated rows are scored one by one; an empty table gives an
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.linear import HashedLogistic, slot
-from threadloom.llm.sampling import hashed_below
 from threadloom.runtime import materialise
 
 #: What systems put after a cut.
@@ -208,7 +207,7 @@ def _counted(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     rows = rows.withColumns({"word": F.when(F.col("word") == "", nothing).otherwise(F.col("word")), "line": F.when(F.col("line") == "\n", nothing).otherwise(F.col("line"))})
     words = vocab.select(F.col("item").alias("word"), F.col("count").alias("n"))
     lines = vocab.where(F.col("item").startswith("\n")).select(F.col("item").alias("line"), F.col("count").alias("m"))
-    return rows.join(words, "word", "left").join(lines, "line", "left").select("_key", "kind", "text", "at_chars", "at_bytes", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+    return rows.join(words, "word", "left").join(lines, "line", "left").select("_key", "kind", "text", "at_chars", "at_bytes", "y", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
 
 
 def fit(texts: list[np.ndarray], cuts: list[np.ndarray], keep: float = 0.3) -> HashedLogistic:
@@ -224,52 +223,64 @@ def fit(texts: list[np.ndarray], cuts: list[np.ndarray], keep: float = 0.3) -> H
     return HashedLogistic().fit(rows + cuts, np.repeat([0.0, 1.0], [len(rows), len(cuts)]), epochs=6)
 
 
-def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", kind: str = "content_kind", sample: int = 20_000, seed: int = 11) -> DataFrame:
-    """(key, score, is_cut) of every document with a text.
+def _fitted(slots: DataFrame, n: int, shard: int) -> HashedLogistic:
+    """Mean of the models of all shards of about ``shard`` documents, each slot's weight by how often a shard's rows hold it."""
+    shards = max(1, -(-n // shard))
 
-    The fit sees as many cut as intact texts; a score counts as cut where its odds outweigh the share of cut texts that the
-    sample itself shows.
-    """
-    base = _prepared(docs, key, text, source, kind)
+    def of_shard(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["_key", "y"], kind="stable")
+        x, y = [np.asarray(v, np.int64) for v in b["x"]], b["y"].to_numpy()
+        m = fit([x[i] for i in np.flatnonzero(y == 0)], [x[i] for i in np.flatnonzero(y == 1)])
+        seen = np.bincount(np.concatenate(x), minlength=len(m.w))
+        at = np.flatnonzero(seen)
+        return pd.DataFrame({"slot": np.append(at, -1), "w": np.append(m.w[at], m.b).astype(float), "seen": np.append(seen[at], len(x))})
 
-    def with_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(text=[ending(t) for t in b["text"]], word=[last_word(t) for t in b["text"]], line=["\n" + last_line(t) for t in b["text"]])
+    of = F.pmod(F.xxhash64(F.lit("shard"), "_key"), F.lit(shards))
+    parts = slots.groupBy(of.alias("_shard")).applyInPandas(of_shard, "slot long, w double, seen long")
+    mean = parts.groupBy("slot").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w")).toPandas()  # a row per slot at most
+    out, real = HashedLogistic(), mean[mean["slot"] >= 0]
+    out.w[real["slot"].to_numpy(np.int64)] = real["w"]
+    out.b = float(mean["w"][mean["slot"] < 0].sum())
+    return out
 
-    schema = "_key bigint, kind string, text string, at_chars boolean, at_bytes boolean"
-    vocab = materialise(vocabulary(docs, text), "vocabulary")
-    # from here on only the endings of texts travel
-    rows = materialise(_counted(base.mapInPandas(with_ends, schema + ", word string, line string"), vocab), "endings")
 
-    n = rows.count()
-    picked = hashed_below(rows, "_key", sample, n)
+def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", kind: str = "content_kind", shard: int = 20_000, seed: int = 11) -> DataFrame:
+    """(key, score, is_cut) of every document with a text.
 
-    def artificial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The fit sees every document and, where it can be cut, a cut of it; a score counts as cut where its odds outweigh the share of
+    cut texts that all documents together show.
+    """
+    base = _prepared(docs, key, text, source, kind)
+
+    def with_cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k, kd, t, c, by in zip(b["_key"], b["kind"], b["text"], b["at_chars"], b["at_bytes"]):
-                made = _cut(t, random.Random(int(k) * 31 + seed))
-                if made:
-                    out.append((k, kd, ending(made[0]), made[1], False, last_word(made[0]), "\n" + last_line(made[0])))
-            yield pd.DataFrame(out, columns=["_key", "kind", "text", "at_chars", "at_bytes", "word", "line"])
+                out.append((k, kd, ending(t), c, by, last_word(t), "\n" + last_line(t), 0))
+                if made := _cut(t, random.Random(int(k) * 31 + seed)):
+                    out.append((k, kd, ending(made[0]), made[1], False, last_word(made[0]), "\n" + last_line(made[0]), 1))
+            yield pd.DataFrame(out, columns=["_key", "kind", "text", "at_chars", "at_bytes", "word", "line", "y"])
 
-    made = _counted(hashed_below(base, "_key", sample, n).mapInPandas(artificial, schema + ", word string, line string"), vocab)
-
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "x": [features(*r) for r in zip(b["text"], b["at_chars"], b["at_bytes"], b["kind"], b["n"], b["m"])]})
+            x = [features(*r).astype(np.int32) for r in zip(b["text"], b["at_chars"], b["at_bytes"], b["kind"], b["n"], b["m"])]
+            yield pd.DataFrame({"_key": b["_key"], "y": b["y"], "x": x})
 
-    train = picked.withColumn("y", F.lit(0)).unionByName(made.withColumn("y", F.lit(1))).mapInPandas(slots, "y int, x array<bigint>").toPandas()
-    x, y = [np.asarray(v, np.int64) for v in train["x"]], train["y"].to_numpy()
-    model = fit([x[i] for i in np.flatnonzero(y == 0)], [x[i] for i in np.flatnonzero(y == 1)])
-    share = float((model.score([x[i] for i in np.flatnonzero(y == 0)]) > 0.5).mean()) if (y == 0).any() else 0.5
-    threshold = 1 - min(max(share, 0.01), 0.5)
+    schema = "_key bigint, kind string, text string, at_chars boolean, at_bytes boolean, word string, line string, y int"
+    vocab = materialise(vocabulary(docs, text), "vocabulary")
+    # from here on only the endings of texts travel, then only their slots
+    counted = _counted(base.mapInPandas(with_cuts, schema), vocab)
+    slots = materialise(counted.mapInPandas(as_slots, "_key bigint, y int, x array<int>"), "slots")
+    rows = slots.where("y = 0").select("_key", "x")
+    model = _fitted(slots, rows.count(), shard)
     weights, bias = model.w, model.b
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = HashedLogistic(weights, bias)
         for b in batches:
-            p = m.score([features(*r) for r in zip(b["text"], b["at_chars"], b["at_bytes"], b["kind"], b["n"], b["m"])])
-            yield pd.DataFrame({"_key": b["_key"], "score": p, "is_cut": p >= threshold})
+            yield pd.DataFrame({"_key": b["_key"], "score": m.score([np.asarray(v, np.int64) for v in b["x"]])})
 
-    return rows.mapInPandas(score, "_key bigint, score double, is_cut boolean").withColumnRenamed("_key", key)
+    scores = materialise(rows.mapInPandas(score, "_key bigint, score double"), "scores")
+    share = scores.agg(F.avg((F.col("score") > 0.5).cast("int"))).first()[0]
+    threshold = 1 - min(max(0.5 if share is None else share, 0.01), 0.5)
+    return scores.select(F.col("_key").alias(key), "score", (F.col("score") >= threshold).alias("is_cut"))
