@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import products
+from threadloom.operators import retrieval as R
+from threadloom.plans import search
 
 
 def brute(queries, items, k, log, exclude_self):
@@ -54,3 +56,18 @@ def test_pairs_of_common_terms_are_no_rows(spark):
     items = spark.range(3000).select(F.col("id").alias("item"), F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id") % 50)).alias("terms"))
     got = products.best(items.where("item < 600").withColumnRenamed("item", "query"), items, 3, exclude_self=True)
     assert {r["item"] for r in got.where("query = 57").collect()} == {7, 107, 157} and got.count() == 1800
+
+
+@pytest.mark.parametrize("mode", ["dense", "sparse"])
+def test_a_leg_ranks_as_the_encoded_tables_do(spark, mode):
+    """The legs of the search against term weights as rows, hashed vectors and all pairs, each rounded before it is ranked."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("item"), "text")
+    q = d.where("item % 10 = 0").select(F.col("item").alias("query"), "text")
+    tq, td = search.encode(q, "query", "text"), search.encode(d, "item", "text")
+    if mode == "dense":
+        hits = R.nearest(search.dense(tq, "query").withColumnRenamed("vec", "qvec"), search.dense(td, "item"), 8, exclude_self=False).withColumn("rank", F.col("rank") - 1)
+    else:
+        hits = R.ranked(R.sparse_scores(tq, td).withColumn("score", F.round("score", 6)), "sparse").where("rank < 8")
+    want = {(r["query"], r["item"], r["rank"]) for r in hits.collect()}
+    got = {(r["query"], r["item"], r["rank"] - 1) for r in search.hybrid(q, d, mode, per_leg=8).collect()}
+    assert got == want and want

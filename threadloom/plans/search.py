@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import numeric_tokens
 from threadloom.operators import retrieval as R
+from threadloom.operators.products import best
 
 DIM = 64
 
@@ -36,17 +37,18 @@ def dense(terms: DataFrame, key: str, dim: int = DIM) -> DataFrame:
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", per_leg: int = 20, top: int = 20, p: float = 1.0, sparse_weight: float = 1.0) -> DataFrame:
-    """V4. (query, item, rank, score): ``queries`` (query, text) against ``chunks`` (item, text)."""
+    """V4. (query, item, rank, score): ``queries`` (query, text) against ``chunks`` (item, text); terms are weighed within a row, so no posting is shuffled."""
     if mode not in ("dense", "sparse", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
-    q, d = encode(queries, "query", "text"), encode(chunks, "item", "text")
+    words = sparse_terms(F.col("text"))
     legs = []
     if mode != "sparse":
-        near = R.nearest(dense(q, "query").withColumnRenamed("vec", "qvec"), dense(d, "item"), per_leg, exclude_self=False)
-        legs.append((near.select("query", "item", (F.col("rank") - 1).alias("rank")), 1.0))
+        hashes = F.transform(words, lambda w: F.xxhash64(w)).alias("terms")
+        near = best(queries.select("query", hashes), chunks.select("item", hashes), per_leg, dim=DIM)
+        legs.append((near.select("query", "item", "rank"), 1.0))
     if mode != "dense":
-        hits = R.sparse_scores(q, d)
-        legs.append((R.ranked(hits, "sparse").where(F.col("rank") < per_leg).select("query", "item", "rank"), sparse_weight))
+        hits = best(queries.select("query", words.alias("terms")), chunks.select("item", words.alias("terms")), per_leg)
+        legs.append((hits.select("query", "item", "rank"), sparse_weight))
     return R.fuse(legs, p=p, top=top)
 
 
