@@ -54,8 +54,9 @@ def hybrid(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", per_leg:
 
 def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column], texts: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """V6, L2. Hits again in the order of a scorer over (query text, chunk text); equal scores keep their order."""
-    rows = hits.join(texts.select("item", F.col("text").alias("_t")), "item").join(queries.select("query", F.col("text").alias("_q")), "query")
-    scored = rows.withColumn("_s", scorer(F.col("_q"), F.col("_t")))
+    # queries first: a hit's text, often a long one, moves once
+    rows = hits.join(queries.select("query", F.col("text").alias("_q")), "query").join(texts.select("item", F.col("text").alias("_t")), "item")
+    scored = rows.select("query", "item", "rank", scorer(F.col("_q"), F.col("_t")).alias("_s"))
     w = Window.partitionBy("query").orderBy(F.desc("_s"), "rank")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query", "item", "rank", F.col("_s").alias("score"))
 
