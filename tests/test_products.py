@@ -71,3 +71,11 @@ def test_a_leg_ranks_as_the_encoded_tables_do(spark, mode):
     want = {(r["query"], r["item"], r["rank"]) for r in hits.collect()}
     got = {(r["query"], r["item"], r["rank"] - 1) for r in search.hybrid(q, d, mode, per_leg=8).collect()}
     assert got == want and want
+
+
+def test_conversations_of_equal_subjects(spark):
+    """Queries of one subject are scored once and all get the conversations of its hits."""
+    c = spark.sql("select id item, concat('t', id % 4) thread_id, string(id) message_id, id ordinal, timestamp '2024-01-01 00:00:00' sent_at, 'a@x' sender, concat('boiler ', if(id % 4 = 1, 'manual', 'room')) text from range(40)")
+    q = spark.createDataFrame([(i, "Boiler manual") for i in range(300)] + [(900, "nothing")], "query bigint, text string")
+    got = search.threads_of(search.hybrid(q, c.select("item", "text"), "sparse", top=5), c, 3).collect()
+    assert {(r["query"], r["thread_id"], r["n_emails"]) for r in got} == {(i, "t1", 10) for i in range(300)}
