@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,60 @@ def test_conversations_of_equal_subjects(spark):
     q = spark.createDataFrame([(i, "Boiler manual") for i in range(300)] + [(900, "nothing")], "query bigint, text string")
     got = search.threads_of(search.hybrid(q, c.select("item", "text"), "sparse", top=5), c, 3).collect()
     assert {(r["query"], r["thread_id"], r["n_emails"]) for r in got} == {(i, "t1", 10) for i in range(300)}
+
+
+def shuffled(spark):
+    """Bytes that this application has written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_only_texts_of_conversations_that_were_hit_move(spark):
+    """A conversation that 200 queries hit moves once, texts of others stay where they are."""
+    rng = random.Random(5)
+    rows = [(i, f"t{i % 50}", f"m{i}", i, None, "a@x", rng.randbytes(10_000).hex()) for i in range(200)]
+    c = spark.createDataFrame(rows, "item bigint, thread_id string, message_id string, ordinal bigint, sent_at timestamp, sender string, text string")
+    hits = spark.createDataFrame([(q, 7, 1) for q in range(200)] + [(q, 8, 2) for q in range(200)], "query bigint, item bigint, rank int")
+    before = shuffled(spark)
+    got = search.threads_of(hits, c, 1).collect()
+    assert shuffled(spark) - before < 1_000_000  # of 4,000,000 bytes of texts, 80,000 of the one conversation
+    text = "\n\n".join(f"[?] a@x\n{r[6]}" for r in sorted((r for r in rows if r[1] == "t7"), key=lambda r: r[2]))
+    assert {tuple(r) for r in got} == {(q, 1, "t7", 4, text) for q in range(200)}
+
+
+def test_conversations_are_those_of_brute_force(spark):
+    """Repeated message ids, several chunks of a message, no date, sender, text or thread, items that are not there, equal first ranks."""
+    rng = random.Random(6)
+    stamp = lambda n: datetime(2024, 1, 1 + n, 9, 30)
+    rows = [(i, rng.choice([*"abcdefgh", "", None]), rng.choice(["m1", "m2", "m3", None]), i, rng.choice([None, *map(stamp, range(9))]), rng.choice([None, "x", "y"]), rng.choice([None, "one", "two", "three"])) for i in range(120)]
+    c = spark.createDataFrame(rows, "item bigint, thread_id string, message_id string, ordinal bigint, sent_at timestamp, sender string, text string")
+    hits = sorted({(q, rng.randrange(130)) for q in range(40) for _ in range(6)})
+    ranked = [(q, i, 1 + sum(x == q and y < i for x, y in hits) // 2) for q, i in hits]
+    of = {r[0]: r[1] for r in rows}
+    want = set()
+    for q in range(40):
+        first = {}
+        for x, i, r in ranked:
+            if x == q and of.get(i):
+                first[of[i]] = min(r, first.get(of[i], r))
+        for place, t in enumerate(sorted(first, key=lambda t: (first[t], t))[:2], 1):
+            mails = []
+            for m in {r[2] for r in rows if r[1] == t}:
+                own = sorted((r for r in rows if r[1] == t and r[2] == m), key=lambda r: r[3])
+                at = min((r[4] for r in own if r[4]), default=None)
+                mails.append(((at is None, at or stamp(0), m is not None, m or ""), f"[{at:%Y-%m-%d %H:%M}] " if at else "[?] ", own[0][5] or "?", "\n".join(r[6] for r in own if r[6] is not None)))
+            want.add((q, place, t, len(mails), "\n\n".join(f"{d}{s}\n{b}" for _, d, s, b in sorted(mails))))
+    got = search.threads_of(spark.createDataFrame(ranked, "query bigint, item bigint, rank int"), c, 2).collect()
+    assert {tuple(r) for r in got} == want and want
+
+
+def test_a_filter_by_hash_drops_no_row_of_the_keys(spark, monkeypatch):
+    """Words and bits at either end, null, and more keys than bits."""
+    monkeypatch.setattr(R, "WORDS", 4)
+    df = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("k")).unionByName(spark.createDataFrame([(None,)], "k string"))
+    few, many = df.where("k in ('k3', 'k77', 'k2999')"), df.where("k <> 'k5' or k is null")
+    kept = R.perhaps_among(df, few, "k")
+    assert few.exceptAll(kept).isEmpty() and kept.count() < 200
+    assert many.exceptAll(R.perhaps_among(df, many, "k")).isEmpty()
+    assert R.perhaps_among(df, few.where("false"), "k").isEmpty()

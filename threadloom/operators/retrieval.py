@@ -82,6 +82,21 @@ def expand_threads(hits: DataFrame, chunks: DataFrame, thread: str) -> DataFrame
     return chunks.join(first_seen(hits, thread).select("query", thread, "distinct_rank"), thread)
 
 
+#: Words of 64 bits that a filter by hash has.
+WORDS = 1 << 18
+
+
+def perhaps_among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """J4. All rows of ``df`` whose ``key`` is among ``keys``, and a few others: those whose hash falls on a bit that a key of ``keys`` has set.
+
+    At most ``WORDS`` rows are broadcast, whatever the number of keys; many keys only let more other rows through.
+    """
+    h = F.xxhash64(key)
+    word, bit = F.pmod(h, F.lit(WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+    bits = keys.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits"))
+    return df.join(F.broadcast(bits), (word == F.col("_word")) & (F.getbit(F.col("_bits"), bit) == 1), "left_semi")
+
+
 def recall_at(hits: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     """A11, J16. Hits of (query, item, rank) against (query, category, gold): recall at k and mean reciprocal rank, overall and per category."""
     best = gold.join(hits.select("query", F.col("item").alias("gold"), "rank"), ["query", "gold"], "left").groupBy("query", "category").agg(F.min("rank").alias("r"))

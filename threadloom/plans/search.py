@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import numeric_tokens
 from threadloom.operators import retrieval as R
 from threadloom.operators.products import best
+from threadloom.runtime import default_parallelism, materialise
 
 DIM = 64
 
@@ -67,10 +68,13 @@ def threads_of(hits: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
     ``chunks`` has item, thread_id, message_id, ordinal, sent_at, sender, text.
     """
     found = hits.join(chunks.select("item", "thread_id"), "item")
-    wide = R.expand_threads(found, chunks, "thread_id").where(F.col("distinct_rank") <= top)
-    mails = wide.groupBy("query", "distinct_rank", "thread_id", "message_id").agg(
+    seen = materialise(R.first_seen(found, "thread_id").where(F.col("distinct_rank") <= top).select("query", "distinct_rank", "thread_id"), "seen")
+    # only texts of conversations that were hit move; each is put together once and goes out with every query, so parts that come in small are not merged
+    wide = R.perhaps_among(chunks, seen, "thread_id").select("thread_id", "message_id", "ordinal", "sent_at", "sender", "text").repartition(default_parallelism(hits.sparkSession), "thread_id")
+    mails = wide.groupBy("thread_id", "message_id").agg(
         F.min("sent_at").alias("sent_at"), F.min_by("sender", "ordinal").alias("sender"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("body")
     )
     line = F.concat(F.lit("["), F.coalesce(F.date_format("sent_at", "yyyy-MM-dd HH:mm"), F.lit("?")), F.lit("] "), F.coalesce("sender", F.lit("?")), F.lit("\n"), F.col("body"))
     order = F.array_sort(F.collect_list(F.struct(F.col("sent_at").isNull().alias("u"), "sent_at", "message_id", line.alias("line"))))
-    return mails.groupBy("query", F.col("distinct_rank").alias("thread_rank"), "thread_id").agg(F.count("*").alias("n_emails"), F.array_join(F.transform(order, lambda x: x["line"]), "\n\n").alias("text"))
+    texts = mails.groupBy("thread_id").agg(F.count("*").alias("n_emails"), F.array_join(F.transform(order, lambda x: x["line"]), "\n\n").alias("text"))
+    return texts.join(seen, "thread_id").select("query", F.col("distinct_rank").alias("thread_rank"), "thread_id", "n_emails", "text")
