@@ -3,7 +3,7 @@ import pytest
 
 from threadloom.llm.boost import Boosted
 from threadloom.llm.encodings import garble
-from threadloom.llm.personal import build_lexicon, find_personal, header_names, mail_candidates, name_candidates, number_candidates, redact_personal, street_candidates
+from threadloom.llm.personal import Finder, build_lexicon, find_personal, fit, header_names, mail_candidates, name_candidates, number_candidates, redact_personal, street_candidates
 
 
 def test_trees_learn_an_interaction():
@@ -93,3 +93,26 @@ def test_names_that_no_header_holds(mails):
     got = find_personal(mails.unionByName(mails.sparkSession.createDataFrame(rows, mails.schema))).where("email_id <= -500").collect()
     assert {(r["email_id"], r["pii_text"]) for r in got if r["pii_type"] == "name"} == {(-500, "Priya Raghunathan"), (-500, "Zebulon Quistgaard"), (-501, "Wei Zhang"), (-502, "Dmitri Volkov")}
     assert {(r["email_id"], r["pii_text"]) for r in got if r["pii_type"] == "street"} == {(-503, "221B Baker Street, London NW1 6XE")}
+
+
+def test_candidates_are_held_by_portions(mails, monkeypatch):
+    """A large batch is searched in portions, with the spans that each text has alone."""
+    rows = [tuple(v or "" for v in r) for r in mails.where("email_id > 0").orderBy("email_id").limit(1500).drop("email_id").collect()]
+    finder = fit(rows[:300], build_lexicon([h for r in rows for h in r[1:]], [r[0] for r in rows]))
+    texts = [r[0] for r in rows]
+    alone = [finder.find([t], [frozenset()])[0] for t in texts]
+    most, accept = [], Finder._accept
+    monkeypatch.setattr(Finder, "_accept", lambda self, kind, wanted: (most.append(len(wanted)), accept(self, kind, wanted))[1])
+    assert sum(map(len, texts)) > 4 * 250_000
+    assert finder.find(texts, [frozenset()] * len(texts)) == alone and sum(map(len, alone)) > 5000
+    assert max(most) < sum(map(len, alone)) // 3
+
+
+def test_places_that_digits_show():
+    """Of a line only digits that may be a house number, a postcode or a unit lead to the search of streets."""
+    import threadloom.llm.personal as p
+
+    runs = lambda t: [m[0] for m in p._PLACE.finditer(t)]
+    assert runs("on 12 May 2024 at 10:33, INV-48968 and WO-831 of 1200345 pcs, 5 boxes") == ["12", "831"]
+    assert runs("97B Old Weir Rd., 00355 Osk; MX264; 814호; 4 Quay St") == ["97", "00355", "264", "814호", "4"]
+    assert p._cue(" fax, passport ") == (2, 14) and p._cue(" passport, tel: ") == (1, 15) and p._cue(" my new telefon ") == (1, 15) and p._cue("none") == (0, -1)
