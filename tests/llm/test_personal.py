@@ -15,6 +15,22 @@ def test_trees_learn_an_interaction():
     assert Boosted().fit(x[:0], y[:0]).score(x[:3]).max() < 0.5
 
 
+def test_trees_scored_together_as_one_by_one():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 32, (1100, 6))
+    m = Boosted().fit(x, ((x[:, 0] > 9) ^ (rng.random(1100) < 0.2)).astype(float))
+    z = np.full(len(x), m.base)
+    for feature, cut, leaf in zip(m.feature, m.cut, m.leaf):
+        for i, row in enumerate(x):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > cut[node])
+            z[i] += leaf[node - len(feature)]
+    for most in (1, 7, 512, 5000):
+        assert np.array_equal(m.score(x, most), 1 / (1 + np.exp(-z)))
+    assert len(m.score(x[:0])) == 0
+
+
 @pytest.mark.parametrize(
     "text", ["1065 Slipway Lane, Tarnstead 00883", "Unit 6, 88 Slipway Lane, Tarnstead 00100", "97 Old Weir Rd., Apt 4B, Osk Harbor 00355", "1765 Quill Street, Marrby MX264", "37 bis, quai de l’Écluse, 00864 Montdreuil", "14 rue des Tisserands, 00807 Valcelle", "Lindenweg 90, 00515 Oberau", "Werkhofstr. 76, 00834 Wolkeder", "Am Mühltor 151, 00245 Grünrath", "Avda. Peñaares, 117, 00133 Olmeda", "Calle del Molino 126, 00030 Villalba del Muelle", "Rua da Eclusa, 111, 00471-000 Serrinho", "솔내구 부두길 155, 814호"]
 )
